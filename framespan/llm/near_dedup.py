@@ -82,6 +82,15 @@ def _allowed(n1: str, n2: str, overlap) -> F.Column:
     return F.lit(100) * overlap >= F.lit(THRESHOLD_PERCENT) * (F.col(n1) + F.col(n2) - overlap)
 
 
+def _first_table() -> F.Column:
+    """The first table in which the small keys ``keys`` and ``keys2`` meet: so a pair is made once, not in every table."""
+
+    def first(begin: int) -> F.Column:
+        return F.array_position(F.zip_with(F.slice("keys", begin + 1, SIDE), F.slice("keys2", begin + 1, SIDE), lambda a, b: a == b), True) - 1
+
+    return first(0) * SIDE + first(SIDE)
+
+
 def _confirmed(work: Workspace, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     first = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
@@ -118,7 +127,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "classes",
     )
     tables = F.array(*(F.xxhash64(F.lit(i * SIDE + j), F.col("keys")[i], F.col("keys")[SIDE + j]) for i in range(SIDE) for j in range(SIDE)))
-    placed = classes.select("c", "n", F.explode(tables).alias("key"))
+    placed = classes.select("c", "n", F.posexplode(tables).alias("t", "key"))
     buckets = placed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("c", "n")).alias("pivot")).where("size > 1")
     members = work.write(placed.join(buckets, "key"), "members")
 
@@ -141,7 +150,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             left.select("c", "n").distinct().join(lone, "c", "left").select("c", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"), "n").where(f"100 * shared >= {THRESHOLD_PERCENT} * n").select("c", "shared"),
             "shared",
         )
-        kept = work.write(left.select("key", "c", "n", "root", "pivot").join(shared, "c"), "kept")
+        kept = work.write(left.select("t", "key", "c", "n", "root", "pivot").join(shared, "c"), "kept")
         best = kept.groupBy("key").agg(F.max(F.struct("shared", "c", "n")).alias("best"))
         again = kept.join(best, "key").select("c", "n", "shared", F.col("best.c").alias("p"), F.col("best.n").alias("pn"), F.col("best.shared").alias("ps"))
         again = again.where("c <> p").where(_allowed("n", "pn", F.least("shared", "ps")))
@@ -149,12 +158,13 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = links.union(_confirmed(work, second, sets))
         roots = work.write(connected_components(work, links), "roots")
 
-        rest = work.write(_rooted(kept.select("key", "c", "n", "shared", "pivot"), roots), "rest")
+        rest = _rooted(kept.select("t", "key", "c", "n", "shared", "pivot"), roots).join(classes.select("c", "keys"), "c")
+        rest = work.write(rest, "rest")
         parts = F.ceil(F.col("left") / BLOCK).cast("int")
         own, all_parts = F.pmod(F.xxhash64("c"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
-        x = rest.select("key", "c", "n", "shared", "root", own.alias("px"), all_parts.alias("py"))
-        y = rest.select("key", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("root").alias("root2"), own.alias("py"), all_parts.alias("px"))
-        pairs = x.join(y, ["key", "px", "py"]).where("c < c2 and root <> root2").where(_allowed("n", "n2", F.least("shared", "shared2")))
+        x = rest.select("t", "key", "c", "n", "shared", "root", "keys", own.alias("px"), all_parts.alias("py"))
+        y = rest.select("key", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("root").alias("root2"), F.col("keys").alias("keys2"), own.alias("py"), all_parts.alias("px"))
+        pairs = x.join(y, ["key", "px", "py"]).where("c < c2 and root <> root2").where(_allowed("n", "n2", F.least("shared", "shared2"))).where(F.col("t") == _first_table())
         last = pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct().join(tried.union(second), ["a", "b"], "left_anti")
         links = links.union(_confirmed(work, last, sets))
         roots = work.write(connected_components(work, links), "roots")
