@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framespan.llm.boosting import Trees, fit
 
@@ -58,7 +59,7 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _statistics(text: pa.Array) -> pa.Array:
     return pa.array([statistics(t or b"") for t in text.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
 
@@ -81,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
 
 
 def scorer(model: Trees):
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def score(text: pa.Array) -> pa.Array:
         x = np.array([statistics(t or b"") for t in text.cast(pa.binary()).to_pylist()], np.float64).reshape(-1, len(FEATURES))
         return pa.array(model.probability(x))

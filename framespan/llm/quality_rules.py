@@ -19,7 +19,9 @@ MIN_WORDS, REPEAT_PERCENT, REPEAT_WORDS = 20, 30, 8
 MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_COMMON = 100, 60
 #: A language is a reference from so many words on.
 MIN_REFERENCE_WORDS = 2000
-MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.3, 0.6
+#: A text goes if one distance is over its limit, or both are over these lower limits.
+MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.3, 0.45
+JOINT_CLASS_DISTANCE, JOINT_COMMON_DISTANCE = 0.16, 0.26
 #: Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
     "the of and to in is that for it on with as was at by this be are from an "
@@ -107,17 +109,30 @@ def judge(docs: DataFrame) -> DataFrame:
     n_classes, n_common = len(CLASSES) + 1, len(_WORDS) + 1
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     own = work.write(measures(docs).withColumn("base_failed", failed), "measures")
-    sums = own.where("not base_failed and lang is not null").groupBy("lang").agg(F.sum("n_words").alias("words"), *_summed("classes", n_classes), *_summed("common", n_common))
-    reference = sums.where(F.col("words") >= MIN_REFERENCE_WORDS).select(
-        "lang", F.array(*(f"classes_{k}" for k in range(n_classes))).alias("ref_classes"), F.array(*(f"common_{k}" for k in range(n_common))).alias("ref_common")
-    )
-    joined = own.join(work.write(reference, "references"), "lang", "left")
+    trusted = own.where("not base_failed and lang is not null")
+    for k in range(2):  # the second references leave out what is far from the first
+        sums = trusted.groupBy("lang").agg(F.sum("n_words").alias("words"), *_summed("classes", n_classes), *_summed("common", n_common))
+        reference = sums.where(F.col("words") >= MIN_REFERENCE_WORDS).select(
+            "lang", F.array(*(f"classes_{j}" for j in range(n_classes))).alias("ref_classes"), F.array(*(f"common_{j}" for j in range(n_common))).alias("ref_common")
+        )
+        joined = _compared(own.join(work.write(reference, f"references{k}"), "lang", "left"))
+        trusted = joined.where("not base_failed and lang is not null").where(_fits())
+    return joined.withColumn("kept", ~F.col("base_failed") & _fits()).drop("ref_classes", "ref_common")
+
+
+def _compared(joined: DataFrame) -> DataFrame:
+    n_classes, n_common = len(CLASSES) + 1, len(_WORDS) + 1
     chars = reduce(lambda a, b: a + b, [F.col("classes")[k] for k in range(n_classes)])
     by_class = F.when((chars >= MIN_CHARS_FOR_CLASSES) & F.col("ref_classes").isNotNull(), _distance("classes", "ref_classes", n_classes))
     by_common = F.when((F.col("n_words") >= MIN_WORDS_FOR_COMMON) & F.col("ref_common").isNotNull(), _distance("common", "ref_common", n_common))
-    judged = joined.withColumn("class_distance", by_class).withColumn("common_distance", by_common)
-    fits = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("common_distance", F.lit(0.0)) <= MAX_COMMON_DISTANCE)
-    return judged.withColumn("kept", ~F.col("base_failed") & fits).drop("ref_classes", "ref_common")
+    return joined.withColumn("class_distance", by_class).withColumn("common_distance", by_common)
+
+
+def _fits() -> Column:
+    """Whether neither distance, nor both together, speak against a text."""
+    by_class, by_common = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("common_distance", F.lit(0.0))
+    both = (by_class > JOINT_CLASS_DISTANCE) & (by_common > JOINT_COMMON_DISTANCE)
+    return (by_class <= MAX_CLASS_DISTANCE) & (by_common <= MAX_COMMON_DISTANCE) & ~both
 
 
 def op2(docs: DataFrame) -> DataFrame:
