@@ -32,9 +32,9 @@ def test_marginals_equal_the_sum_over_sequences(seed):
 
 def test_fit_and_spans():
     windows = [(["the", "vilest", "man", "came"], [0, 1, 0, 0]), (["the", "kind", "man", "came"], [0, 0, 0, 0])] * 20
-    tagger = Tagger(fit(windows, ["w:vilest", "5:viles"]))
+    tagger = Tagger(fit(windows, ["5:viles"]))
     score, spans = tagger.tag("Oh, VILEST — and vileship, 😀 he said. " + "a b c " * 200_000 + "vilest")
-    assert score > 0.9 and [(a, b) for a, b, _ in spans] == [(4, 10), (17, 25), (1_200_037, 1_200_043)]
+    assert score > 0.9 and [(a, b) for a, b, _ in spans] == [(4, 10), (17, 25), (1_200_038, 1_200_044)]
     assert tagger.tag("") == (0.0, []) and tagger.tag("a kind man")[0] == 0
 
 
