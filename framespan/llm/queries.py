@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespan.llm import decontam, near_dedup, packing, quality_model, quality_rules, sharding, toxicity
+from framespan.llm import decontam, html_extract, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op2(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op3(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.op4(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -27,6 +31,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op5(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op6(_table(spark, sf_dir, "pages"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op7(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op9(_table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -44,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": decontam.ORACLE_SQL}
+    return {"op6_warc": warc.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}
