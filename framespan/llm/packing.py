@@ -26,17 +26,21 @@ from framespan.llm.storage import Workspace
 
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers; beyond it, it begins anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 _PIECE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-_ENDINGS = b".,;:!?"
+#: Marks that the tokenizer never joins with the letters before them.
+_ENDINGS = b".,;:!?*$#%&|\"()"
+#: The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class WordIds(dict):
     """Ids of a word without ASCII white space, as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its words. Letters and one closing mark are separate to it too, and ASCII case is not
+    its words. Letters and closing marks are separate to it too, and ASCII case is not
     seen, so such words share what is remembered.
     """
 
@@ -45,20 +49,33 @@ class WordIds(dict):
 
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
 
     def _encode(self, word: str) -> bytes:
         return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, word: bytes) -> bytes | None:
+        """Ids of a word of letters only, straight from the merges; None if it is another word, or a rare script."""
+        text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
+        low = text.lower()
+        if not low.isalpha() or max(low) >= "\u2000" or "\u03a3" in text:
+            return None
+        spelled = low.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return np.array([t.id for t in self._model.tokenize(spelled)], "<u4").tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        text = word.decode("utf-8", "replace")
-        if len(word) > 1 and word[-1] in _ENDINGS and unicodedata.normalize("NFC", text[:-1]).lower().isalpha():
-            ids = self[word[:-1]] + self[word[-1:]]
+        base = word.rstrip(_ENDINGS)
+        if base and base != word:
+            alone = self[base] if base.isalpha() else self._letters(base)
+            ids = self._encode(word.decode("utf-8", "replace")) if alone is None else alone + self[word[len(base) :]]
         elif word.isalpha() and word != (low := word.lower()):
             ids = self[low]
         else:
-            ids = self._encode(text)
+            ids = self._letters(word)
+            if ids is None:
+                ids = self._encode(word.decode("utf-8", "replace"))
         if len(word) <= 64:
             self[word] = ids
         return ids
