@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from framespan.llm.dom import Page, read
 from framespan.llm.shingles import groups
+from framespan.llm.worker import parts
 
 _TAGS = {t: k for k, names in enumerate((
     "html body", "article", "main", "section", "div center details hgroup", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "table thead tbody tfoot tr",
@@ -317,10 +318,11 @@ def extractor(model: TreeModel):
 
     @F.arrow_udf(T.StringType())
     def text(html: pa.Array) -> pa.Array:
-        own = [h or "" for h in html.to_pylist()]
         out: list[str] = []
-        for low, high in groups(own):
-            out += extract(model, own[low:high])
+        for part in parts(html):
+            own = [h or "" for h in part]
+            for low, high in groups(own):
+                out += extract(model, own[low:high])
         return pa.array(out, pa.string())
 
     return text

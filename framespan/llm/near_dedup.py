@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from framespan.llm.components import connected_components
 from framespan.llm.shingles import groups, mix, shingle_batch
 from framespan.llm.storage import Workspace
+from framespan.llm.worker import ROWS
 
 SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 85
 SIDE, WIDTH = 7, 2
@@ -37,9 +38,8 @@ _MULTIPLY = _rng.integers(0, 1 << 64, 2 * SIDE * WIDTH, dtype=np.uint64) | np.ui
 
 
 def _signatures(batches):
-    for batch in batches:
-        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        rest = batch.drop_columns(["text"]) if hasattr(batch, "drop_columns") else batch
+    for batch in (b.slice(low, 2 * ROWS) for b in batches for low in range(0, b.num_rows, 2 * ROWS)):
+        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
         for low, high in groups(texts):
             hashes, number = shingle_batch(texts[low:high], SHINGLE_WORDS)
             begin = np.cumsum(number) - number
@@ -55,7 +55,7 @@ def _signatures(batches):
             keys = pa.array(list(small.view(np.int64)) if len(small) else [], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(rest.column(c).slice(low, high - low) for c in ("doc_id", "t1", "t2")),
+                    *(batch.column(c).slice(low, high - low) for c in ("doc_id", "t1", "t2")),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     keys,
@@ -65,8 +65,8 @@ def _signatures(batches):
 
 
 def _full_sets(batches):
-    for batch in batches:
-        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+    for batch in (b.slice(low, 2 * ROWS) for b in batches for low in range(0, b.num_rows, 2 * ROWS)):
+        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
         for low, high in groups(texts):
             hashes, number = shingle_batch(texts[low:high], SHINGLE_WORDS)
             begin = np.cumsum(number) - number

@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framespan.llm.storage import Workspace
+from framespan.llm.worker import held, parts
 
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers; beyond it, it begins anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 _PIECE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Marks that the tokenizer never joins with the letters before them.
@@ -94,13 +95,8 @@ class WordIds(dict):
         return b"".join(parts)
 
 
-_by_path: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _by_path:
-        _by_path[path] = WordIds(path)
-    return _by_path[path]
+    return held(("word ids", path), lambda: WordIds(path))
 
 
 def _cutter(path: str, capacity: int, with_ids: bool):
@@ -108,8 +104,8 @@ def _cutter(path: str, capacity: int, with_ids: bool):
         lookup, part, seen = word_ids(path), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             out = defaultdict(list)
-            docs = zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist())
-            for doc_id, text in docs:
+            texts = (t for part in parts(batch.column("text").cast(pa.binary())) for t in part)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
                 ids = lookup.ids(text or b"") + b"\0\0\0\0"
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + capacity)]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framespan.llm.boosting import Trees, fit
+from framespan.llm.worker import parts
 
 #: Labelled documents that the trees are fitted on, at most.
 MAX_TRAINING_ROWS = 20_000
@@ -61,7 +62,7 @@ def statistics(text: bytes) -> list[float]:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _statistics(text: pa.Array) -> pa.Array:
-    return pa.array([statistics(t or b"") for t in text.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
+    return pa.array([statistics(t or b"") for part in parts(text.cast(pa.binary())) for t in part], pa.list_(pa.float64()))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, allowed, most: int) -> DataFrame:
@@ -84,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
 def scorer(model: Trees):
     @F.arrow_udf(T.DoubleType())
     def score(text: pa.Array) -> pa.Array:
-        x = np.array([statistics(t or b"") for t in text.cast(pa.binary()).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+        x = np.array([statistics(t or b"") for part in parts(text.cast(pa.binary())) for t in part], np.float64).reshape(-1, len(FEATURES))
         return pa.array(model.probability(x))
 
     return score

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from framespan.llm.quality_model import training_rows
 from framespan.llm.storage import Workspace
+from framespan.llm.worker import held, parts
 
 #: Documents of either label that are learned from, features, and token windows, at most.
 MAX_TRAINING_ROWS, MAX_FEATURES, MAX_WINDOWS = 6_000, 4_000, 12_000
@@ -90,7 +91,7 @@ class _Emissions(dict):
         self.chain = chain
 
     def __missing__(self, word: str) -> float | None:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         e = self.chain.emission(word)
         if len(word) <= 64:
@@ -194,7 +195,7 @@ def _feature_udf():
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def found(text: pa.Array) -> pa.Array:
         out = []
-        for t in text.to_pylist():
+        for t in (t for part in parts(text) for t in part):
             words = {w for w in (m.lower() for m in _TOKEN.findall(t or ""))}
             out.append(sorted({f for w in words if len(w) <= 64 for f in features_of(w)}))
         return pa.array(out, pa.list_(pa.string()))
@@ -244,21 +245,15 @@ def tagger(chain: Chain):
     @F.arrow_udf(out)
     def tag(text: pa.Array) -> pa.Array:
         own = _tagger_of(chain)
-        found = [own.tag(t or "") for t in text.to_pylist()]
+        found = [own.tag(t or "") for part in parts(text) for t in part]
         return pa.array([{"score": s, "spans": [{"start": a, "end": b, "p": p} for a, b, p in spans]} for s, spans in found], kind)
 
     return tag
 
 
-_last: list = []
-
-
 def _tagger_of(chain: Chain) -> Tagger:
-    """The tagger of a chain; a worker keeps the last one between batches."""
-    key = (chain.bias, len(chain.weights), chain.transitions.tobytes())
-    if not _last or _last[0] != key:
-        _last[:] = [key, Tagger(chain)]
-    return _last[1]
+    """The tagger of a chain; a worker keeps it between batches."""
+    return held(("tagger", chain.bias, len(chain.weights), chain.transitions.tobytes()), lambda: Tagger(chain))
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
