@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 CUT_SPEED = 99999.0
 
 
-def _sorted(struct: Column, *drop: str) -> Column:
+def _sorted(struct: Column) -> Column:
     """The structs of a group as an array in order of their first fields."""
     return F.array_sort(F.collect_list(struct))
 
@@ -28,12 +28,12 @@ def v1_json(chunks: DataFrame, timebase: str) -> DataFrame:
 
 def v2_json(clips: DataFrame, timebase: str) -> DataFrame:
     """(src, json) of clips (src, start, end, effects array): each distinct list of effects is stored once, numbered by where it first occurs."""
-    keyed = clips.withColumn("grp", F.to_json("effects"))
+    keyed = clips.withColumnRenamed("effects", "list").withColumn("grp", F.to_json("list"))
     from framespan.operators.timeline import dense_effects
 
     numbered = dense_effects(keyed, "grp", "start", "src")
     rows = numbered.groupBy("src").agg(_sorted(F.struct("start", "end", F.col("effects").alias("e"))).alias("c"))
-    table = dense_effects(keyed.select("src", "grp", "start", F.col("effects").alias("list")), "grp", "start", "src").groupBy("src", "effects").agg(F.first("list").alias("list"))
+    table = dense_effects(keyed.select("src", "grp", "start", "list"), "grp", "start", "src").groupBy("src", "effects").agg(F.first("list").alias("list"))
     table = table.groupBy("src").agg(F.transform(_sorted(F.struct("effects", "list")), lambda x: x["list"]).alias("effects"))
     arrays = F.transform("c", lambda c: F.array(c["start"].cast("long"), c["end"].cast("long"), c["e"].cast("long")))
     text = F.to_json(F.struct(F.lit("2").alias("version"), F.col("src").alias("source"), F.lit(timebase).alias("tb"), "effects", arrays.alias("clips")))
