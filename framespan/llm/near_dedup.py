@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from framespan.llm.components import connected_components
 from framespan.llm.shingles import groups, mix, shingle_batch
 from framespan.llm.storage import Workspace
-from framespan.llm.worker import ROWS
+from framespan.llm.worker import ROWS, release
 
 SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 85
 SIDE, WIDTH = 7, 2
@@ -38,6 +38,7 @@ _MULTIPLY = _rng.integers(0, 1 << 64, 2 * SIDE * WIDTH, dtype=np.uint64) | np.ui
 
 
 def _signatures(batches):
+    release()
     for batch in (b.slice(low, 2 * ROWS) for b in batches for low in range(0, b.num_rows, 2 * ROWS)):
         texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
         for low, high in groups(texts):
@@ -65,6 +66,7 @@ def _signatures(batches):
 
 
 def _full_sets(batches):
+    release()
     for batch in (b.slice(low, 2 * ROWS) for b in batches for low in range(0, b.num_rows, 2 * ROWS)):
         texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
         for low, high in groups(texts):
@@ -198,3 +200,20 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     repeated = found.where("n > 0").groupBy("doc_id", "t1", "t2").count().where("count > 1").limit(1).count()
     one = joined.dropDuplicates(["doc_id", "text"]) if repeated else joined
     return one.union(marked.where("__blank")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s FROM w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS g(i) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+common AS (SELECT a.rid AS a, b.rid AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rid AS a, rid AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+least AS (SELECT r.a AS rid, min(w.doc_id) AS component_id FROM reach r JOIN w ON w.rid = r.b GROUP BY r.a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM w LEFT JOIN n USING (rid) JOIN least USING (rid)
+"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framespan.llm.boosting import Trees, fit
-from framespan.llm.worker import parts
+from framespan.llm.worker import parts, release
 
 #: Labelled documents that the trees are fitted on, at most.
 MAX_TRAINING_ROWS = 20_000
@@ -85,6 +85,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
 def scorer(model: Trees):
     @F.arrow_udf(T.DoubleType())
     def score(text: pa.Array) -> pa.Array:
+        release()
         x = np.array([statistics(t or b"") for part in parts(text.cast(pa.binary())) for t in part], np.float64).reshape(-1, len(FEATURES))
         return pa.array(model.probability(x))
 

@@ -138,3 +138,45 @@ def _fits() -> Column:
 def op2(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle_sql() -> str:
+    """``op2`` in DuckDB SQL; histograms are rows (rid, kind, bin, n) there."""
+    t, counts = "t", []
+    for k, pattern in enumerate(CLASSES):
+        rest = f"regexp_replace({t}, '{pattern}', '', 'g')"
+        counts.append(f"length({t}) - length({rest}) AS c{k}")
+        t = rest
+    counts.append(f"length({t}) AS c{len(CLASSES)}")
+    words = ", ".join(f"('{w}')" for w in _WORDS)
+    class_rows = " UNION ALL ".join(f"SELECT rid, 'class' AS kind, '{k}' AS bin, c{k} AS n FROM m" for k in range(len(CLASSES) + 1))
+
+    def compared(k: int, trusted: str) -> str:
+        return f""",
+words{k} AS (SELECT lang FROM f JOIN {trusted} USING (rid) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= {MIN_REFERENCE_WORDS}),
+ref{k} AS (SELECT lang, kind, bin, CAST(sum(h.n) AS DOUBLE) AS n FROM hist h JOIN f USING (rid) JOIN {trusted} USING (rid) WHERE NOT base_failed AND lang IN (SELECT lang FROM words{k}) GROUP BY ALL),
+sums{k} AS (SELECT lang, kind, sum(n) AS total FROM ref{k} GROUP BY ALL),
+share{k} AS (SELECT rid, h.kind, h.n / greatest(o.total, 1) AS x, r.n / greatest(s.total, 1) AS y FROM hist h JOIN f USING (rid) JOIN own o USING (rid, kind) JOIN ref{k} r ON r.lang = f.lang AND r.kind = h.kind AND r.bin = h.bin JOIN sums{k} s ON s.lang = f.lang AND s.kind = h.kind),
+dist{k} AS (SELECT rid, kind, sqrt(greatest(0, sum((CASE WHEN x > 0 THEN x * log2(x / ((x + y) / 2)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(y / ((x + y) / 2)) ELSE 0 END) / 2))) AS d FROM share{k} GROUP BY ALL),
+pair{k} AS (SELECT f.rid, coalesce(CASE WHEN chars >= {MIN_CHARS_FOR_CLASSES} THEN a.d END, 0) AS dc, coalesce(CASE WHEN n_words >= {MIN_WORDS_FOR_COMMON} THEN b.d END, 0) AS dw
+  FROM f LEFT JOIN dist{k} a ON a.rid = f.rid AND a.kind = 'class' LEFT JOIN dist{k} b ON b.rid = f.rid AND b.kind = 'common'),
+fits{k} AS (SELECT rid FROM pair{k} WHERE dc <= {MAX_CLASS_DISTANCE} AND dw <= {MAX_COMMON_DISTANCE} AND NOT (dc > {JOINT_CLASS_DISTANCE} AND dw > {JOINT_COMMON_DISTANCE}))"""
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+e AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+m AS (SELECT rid, {", ".join(counts)} FROM d),
+win AS (SELECT rid, i, array_to_string(w[i:i + {REPEAT_WORDS - 1}], ' ') AS s FROM e, unnest(generate_series(1, len(w) - {REPEAT_WORDS - 1})) AS g(i) WHERE len(w) >= {REPEAT_WORDS}),
+twice AS (SELECT rid, s FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(generate_series(i, i + {REPEAT_WORDS - 1})) AS p FROM win JOIN twice USING (rid, s)) GROUP BY rid),
+f AS (SELECT e.rid, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, length(t) - c1 AS word_chars, c4 AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  len(w) < {MIN_WORDS} OR 100 * coalesce(rep.n, 0) > {REPEAT_PERCENT} * len(w) AS base_failed, length(t) AS chars FROM e JOIN m USING (rid) LEFT JOIN rep USING (rid)),
+list(bin) AS (VALUES {words}),
+found AS (SELECT rid, bin, count(*) AS n FROM (SELECT rid, lower(unnest(w)) AS bin FROM e) JOIN list USING (bin) GROUP BY ALL),
+grid AS (SELECT rid, bin, coalesce(n, 0) AS n FROM (SELECT rid, bin FROM d, list) LEFT JOIN found USING (rid, bin)),
+hist AS ({class_rows} UNION ALL SELECT rid, 'common', bin, n FROM grid UNION ALL SELECT f.rid, 'common', ' ', n_words - coalesce(s, 0) FROM f LEFT JOIN (SELECT rid, sum(n) AS s FROM grid GROUP BY rid) USING (rid)),
+own AS (SELECT rid, kind, sum(n) AS total FROM hist GROUP BY ALL),
+everyone AS (SELECT rid FROM d){compared(1, "everyone")}{compared(2, "fits1")}
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND rid IN (SELECT rid FROM fits2) AS kept FROM f
+"""

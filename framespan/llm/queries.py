@@ -56,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op7_near_dedup": near_dedup.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}

@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     work = Workspace(docs.sparkSession, "toxicity")
     allowed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     both = [training_rows(docs, labels.where(F.col("toxic") == k), "toxic", allowed, MAX_TRAINING_ROWS) for k in (0, 1)]
-    sample = work.write(both[0].union(both[1]).select("doc_id", "text", "label"), "sample")
+    sample = work.write(both[0].union(both[1]).select("doc_id", "text", "label").dropDuplicates(["doc_id", "label"]), "sample")
     numbers = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not numbers.get(0) or not numbers.get(1):
         return fit([], [])

@@ -19,6 +19,11 @@ def held(key: Hashable, make: Callable[[], object]):
     return _held[key]
 
 
+def release() -> None:
+    """Let go what is held, at the start of work that holds nothing."""
+    _held.clear()
+
+
 def parts(column: pa.Array, rows: int = ROWS) -> Iterator[list]:
     """The values of an Arrow array, some rows at a time."""
     for low in range(0, len(column), rows):
