@@ -183,3 +183,42 @@ def hex_colour(r: Column, g: Column, b: Column) -> Column:
 def cache_key(*parts: Column) -> Column:
     """The first 16 hexadecimal digits of a SHA-1 over the parts."""
     return F.substring(F.sha1(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 16)
+
+
+#: Aspect ratios that a frame size is taken for.
+ASPECTS = ((1, 1), (4, 3), (3, 2), (16, 10), (16, 9), (21, 9), (9, 16), (3, 4), (2, 3), (5, 4), (4, 5), (239, 100), (185, 100))
+
+
+def aspect_ratio(width: Column, height: Column, sar_num: Column | int = 1, sar_den: Column | int = 1) -> Column:
+    """The ratio closest to a frame's shape, if its height is then at most 2 pixels off; else null."""
+    shown = width * sar_num / (sar_den if isinstance(sar_den, Column) else F.lit(sar_den))
+    found = F.array(*(F.struct(F.abs(shown * b / a - height).alias("off"), F.lit(k).alias("k"), F.lit(f"{a}:{b}").alias("ratio")) for k, (a, b) in enumerate(ASPECTS)))
+    best = F.array_min(found)
+    return F.when(best["off"] <= 2, best["ratio"])
+
+
+def even_size(width: Column, height: Column, scale: Column | float) -> tuple[Column, Column]:
+    """A size scaled and rounded to even numbers, at least 2."""
+    even = lambda x: F.greatest(F.lit(2), (F.round(x * scale / 2) * 2).cast("int"))
+    return even(width), even(height)
+
+
+def base64url(text: Column) -> Column:
+    """Bytes of URL-safe base64 without padding."""
+    plain = F.translate(text, "-_", "+/")
+    return F.unbase64(F.concat(plain, F.repeat(F.lit("="), ((4 - F.length(plain) % 4) % 4).cast("int"))))
+
+
+def ease_length(value: Column, unit: Column, dur: Column, rate: Column | float) -> Column:
+    """Frames that an easing lasts: seconds or frames, the whole clip where none is given."""
+    return F.when(value.isNull(), dur).when(unit == "sec", F.greatest(F.lit(1), F.round(value * rate).cast("long"))).otherwise(F.greatest(F.lit(1), F.round(value).cast("long")))
+
+
+def pack_rect(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Four fractions in 24 bits each, as 24 hexadecimal digits."""
+    return F.concat(*(F.lpad(F.hex(u24(c).cast("long")), 6, "0") for c in (x, y, w, h)))
+
+
+def unpack_rect(packed: Column) -> Column:
+    """The four fractions of ``pack_rect``."""
+    return F.transform(F.array(*(F.substring(packed, 1 + 6 * k, 6) for k in range(4))), lambda p: F.conv(p, 16, 10).cast("double") / 16777215)

@@ -85,3 +85,34 @@ def tone(note: Column, n: Column, rate: int, peak: int = 8191) -> Column:
 def loop_index(frame: Column, length: Column) -> Column:
     """The source frame of a looped clip."""
     return F.pmod(frame, length)
+
+
+def matte(width: int, height: int, x: int, y: int, w: int, h: int, radius: int = 0, feather: int = 0, inverted: bool = False) -> Column:
+    """A mask as rows of 0 to 255: a rectangle, with rounded corners, or an ellipse (radius -1), softened over ``feather`` pixels."""
+
+    def cover(px: Column, py: Column) -> Column:
+        dx, dy = F.abs(px + 0.5 - (x + w / 2)), F.abs(py + 0.5 - (y + h / 2))
+        if radius < 0:
+            nx, ny = dx / (w / 2), dy / (h / 2)
+            distance = (F.sqrt(nx * nx + ny * ny) - 1) * (min(w, h) / 2)
+        else:
+            r = min(radius, w / 2, h / 2)
+            qx, qy = F.greatest(dx - (w / 2 - r), F.lit(0.0)), F.greatest(dy - (h / 2 - r), F.lit(0.0))
+            inner = F.least(F.greatest(dx - (w / 2 - r), dy - (h / 2 - r)), F.lit(0.0))
+            distance = F.sqrt(qx * qx + qy * qy) + inner - r
+        share = F.when(distance <= 0, 1.0).otherwise(0.0) if feather == 0 else F.least(F.greatest(0.5 - distance / feather, F.lit(0.0)), F.lit(1.0))
+        return F.round((1 - share if inverted else share) * 255).cast("int")
+
+    rows = F.sequence(F.lit(0), F.lit(height - 1))
+    return F.transform(rows, lambda py: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda px: cover(px, py)))
+
+
+def overlay(base: Column, top: Column, alpha: Column, offset: int) -> Column:
+    """A line of pixels with another over it, from ``offset`` on, by its alpha."""
+
+    def at(b, i, t, a):
+        k = i - offset
+        share = F.when((k >= 0) & (k < F.size(t)), F.get(a, k) / 255).otherwise(0.0)
+        return F.round(b * (1 - share) + F.coalesce(F.get(t, k), F.lit(0)) * share).cast("int")
+
+    return F.transform(F.array(F.struct(base.alias("b"), top.alias("t"), alpha.alias("a"))), lambda s: F.transform(s["b"], lambda b, i: at(b, i, s["t"], s["a"])))[0]

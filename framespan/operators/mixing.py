@@ -93,3 +93,30 @@ def envelope(keys: Column, threshold: float, floor: float, attack: float, releas
 
     zero = F.struct(F.lit(1.0).alias("cur"), F.array().cast("array<double>").alias("out"))
     return F.aggregate(keys, zero, step, lambda acc: acc["out"])
+
+
+def micro_fade(samples: DataFrame, clips: DataFrame, fade: int) -> DataFrame:
+    """Samples (src, ord, local, v) with a short fade at either end of clips that do not continue a neighbour."""
+    marked = same_run(clips).select("src", "ord", "dur", "joined_left", "joined_right")
+    joined = samples.join(marked, ["src", "ord"])
+    gain = edge_gain(F.col("local"), F.col("dur"), fade, F.col("joined_left"), F.col("joined_right"))
+    return joined.select("src", "ord", "local", (F.col("v") * gain).alias("v"))
+
+
+def duck(samples: DataFrame, keys: DataFrame, threshold: float, amount: float, attack: float, release: float) -> DataFrame:
+    """Samples (src, idx, v) made quieter while the key (src, idx, v) of higher layers is loud.
+
+    The envelope is a fold over the samples of a source, so those must fit one row; long ones
+    are given clip by clip.
+    """
+    key = keys.groupBy("src", "idx").agg(F.sum("v").alias("k"))
+    both = samples.join(key, ["src", "idx"], "left").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("idx", "v", F.coalesce("k", F.lit(0.0)).alias("k")))).alias("s"))
+    gains = envelope(F.transform("s", lambda x: F.abs(x["k"])), threshold, max(0.0, 1 - amount), attack, release)
+    out = both.select("src", F.explode(F.zip_with("s", gains, lambda x, g: F.struct(x["idx"].alias("idx"), (x["v"] * g).alias("v")))).alias("o"))
+    return out.select("src", "o.idx", "o.v")
+
+
+def mix_samples(samples: DataFrame) -> DataFrame:
+    """Sum of 16-bit samples (src, idx, channel, v) of all layers, clamped."""
+    total = F.sum(F.col("v").cast("long"))
+    return samples.groupBy("src", "idx", "channel").agg(F.greatest(F.least(total, F.lit(32767)), F.lit(-32768)).cast("int").alias("v"))

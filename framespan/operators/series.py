@@ -81,3 +81,39 @@ def channel_levels(levels: DataFrame, streams: list[int] | None = None, channel:
     rows = levels if streams is None else levels.where(F.col("stream").isin(streams))
     rows = rows if channel is None else rows.where(channel)
     return rows.groupBy("src", "frame").agg(F.max("u16").alias("u16"))
+
+
+#: Channels of common layouts, in their order.
+LAYOUTS = {
+    "mono": ("center",),
+    "stereo": ("left", "right"),
+    "2.1": ("left", "right", "lfe"),
+    "quad": ("left", "right", "back-left", "back-right"),
+    "5.1": ("left", "right", "center", "lfe", "back-left", "back-right"),
+    "7.1": ("left", "right", "center", "lfe", "back-left", "back-right", "side-left", "side-right"),
+}
+
+
+def channel_index(layout: str, name: str) -> int | None:
+    """The number of a channel in a layout, -1 for all, None if it has no such channel; left, right and center of mono are its only one."""
+    if name == "all":
+        return -1
+    if layout == "mono" and name in ("left", "right", "center"):
+        return 0
+    own = LAYOUTS.get(layout, ())
+    return own.index(name) if name in own else None
+
+
+def selected_levels(levels: DataFrame, layouts: dict[int, str], stream: str = "all", channel: str = "all") -> DataFrame:
+    """Levels (src, frame, u16) of the chosen streams that have the channel: the highest of them at each frame.
+
+    ``levels`` has (src, stream, channel, frame, u16); ``layouts`` the layout of each stream.
+    """
+    wanted = [k for k in layouts if stream == "all" or k == int(stream)]
+    found = [(k, c) for k in wanted if (c := channel_index(layouts[k], channel)) is not None]
+    if not found:
+        raise ValueError(f"no stream {stream} with channel {channel}")
+    match = F.lit(False)
+    for k, c in found:
+        match = match | ((F.col("stream") == k) & (F.lit(True) if c < 0 else F.col("channel") == c))
+    return levels.where(match).groupBy("src", "frame").agg(F.max("u16").alias("u16"))

@@ -92,3 +92,62 @@ def cut_lengths(spans: DataFrame, lengths: DataFrame) -> DataFrame:
 def is_linear(timelines: DataFrame) -> DataFrame:
     """Whether each timeline (tl, clips2 or null) can be written as v1 or v2: it has plain clips, or nothing."""
     return timelines.select("tl", (F.coalesce(F.size("clips2"), F.lit(0)) > 0).alias("linear"))
+
+
+def distinct_sources(rows: DataFrame) -> DataFrame:
+    """Number of sources of each timeline (src, media), over all its tracks."""
+    return rows.groupBy("src").agg(F.countDistinct("media").alias("sources"))
+
+
+def selected_any(base: DataFrame, selectors: list[int], value: str = "label") -> DataFrame:
+    """Whether any clip of a timeline has one of the values."""
+    return base.groupBy("src").agg(F.bool_or(F.col(value).isin(selectors)).alias("any"))
+
+
+def gap_rows(rows: DataFrame) -> DataFrame:
+    """Gaps (src, layer, start, dur) before clips that do not begin where the one before ends."""
+    w = Window.partitionBy("src", "layer").orderBy("start", "ord")
+    reach = F.coalesce(F.lag(F.col("start") + F.col("dur")).over(w), F.lit(0).cast("long"))
+    return rows.select("src", "layer", reach.alias("start"), (F.col("start") - reach).alias("dur")).where("dur > 0")
+
+
+def playlist_parity(planned: DataFrame) -> DataFrame:
+    """Which of a track's two playlists each clip goes to: it changes with every centred dissolve that comes in."""
+    w = Window.partitionBy("track").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    return planned.withColumn("parity", (F.count_if(F.coalesce(F.col("incoming.alignment") == "center", F.lit(False))).over(w) % 2).cast("int"))
+
+
+def link_ids(rows: DataFrame, order: str = "at") -> DataFrame:
+    """One number for clips of the same source and start, counted by where each first occurs in a timeline."""
+    first = rows.groupBy("src", "media", "start").agg(F.min(order).alias("first"))
+    w = Window.partitionBy("src").orderBy("first", "media", "start")
+    return rows.join(first.select("src", "media", "start", F.row_number().over(w).cast("long").alias("link")), ["src", "media", "start"])
+
+
+def first_definition(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Rows with the value that was defined first for their key."""
+    defined = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, order).alias("resolved"))
+    return rows.join(defined, key, "left")
+
+
+def with_sidecar(media: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """Media that have a subtitle file of the same stem beside them."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    sides = files.where(F.lower(F.col(path)).rlike(r"\.(srt|ass|vtt)$")).select(stem(F.col(path)).alias("stem"))
+    return media.withColumn("stem", stem(F.col(path))).join(sides, "stem", "left_semi").drop("stem")
+
+
+def retarget(rows: DataFrame, **settings) -> DataFrame:
+    """Settings of a timeline (samplerate, resolution, background, ...) replaced where a value is given."""
+    return rows.withColumns({k: F.lit(v) for k, v in settings.items() if v is not None})
+
+
+def per_clip(rows: DataFrame) -> DataFrame:
+    """Each clip as a timeline of its own that begins at 0: a new column ``part`` numbers them."""
+    w = Window.partitionBy("src").orderBy("start")
+    return rows.select("*", F.row_number().over(w).cast("long").alias("part")).withColumn("start", F.lit(0).cast("long"))
+
+
+def one_stream_sources(rows: DataFrame) -> DataFrame:
+    """Clips on a source of a single stream each: the stream is part of the source's name, and 0 from then on."""
+    return rows.withColumn("media", F.concat_ws("#", "media", "stream")).withColumn("stream", F.lit(0))

@@ -231,3 +231,18 @@ def compile_labels(edits: dict[int, str], context: Context) -> DataFrame:
         if not 1 <= k <= 255:
             raise EditError("labels go from 1 to 255")
     return masks.merge_labels([(k, compile_mask(parse(text), context)) for k, text in edits.items()])
+
+
+def parse_single_method(text: str) -> tuple[str, dict[str, str]]:
+    """A method by itself, as level dumps take it: no operator, no threshold, and audio reads stream 0 unless told otherwise."""
+    node = parse(text)
+    name = node.name if node.name is not None else node.value
+    if name in OPERATORS or name == "not" or node.name is None and name in CONSTANTS:
+        raise EditError(f"{name} is not a method")
+    if "threshold" in node.named or node.args and METHODS.get(name or "", Method((("", ""),), "")).arguments[0][0] == "threshold":
+        raise EditError("a threshold means nothing here")
+    bound = bind(node)
+    bound.pop("threshold", None)
+    if name == "audio" and "stream" not in node.named:
+        bound["stream"] = "0"
+    return name or "", bound

@@ -664,3 +664,157 @@ def q_pixel_kernels(spark, sf_dir):
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     px = F.col("px")
     return f.select("idx", total(K.invert(px)).alias("inverted"), total(K.brightness(px, 0.2)).alias("brighter"), total(K.contrast(px, 1.5)).alias("contrasted"), total(K.erosion(px)).alias("eroded"), K.hflip(px)[0].alias("flipped"))
+
+
+@query("SELECT l_orderkey AS src, count(DISTINCT l_partkey) AS sources FROM lineitem GROUP BY 1")
+def q_distinct_sources(spark, sf_dir):
+    return timeline.distinct_sources(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("media")))
+
+
+@query(_CLIPS + 'SELECT src, bool_or(ord % 5 IN (3, 4)) AS "any" FROM c GROUP BY src')
+def q_layer_bits(spark, sf_dir):
+    return timeline.selected_any(_clips(spark, sf_dir).withColumn("label", (F.col("ord") % 5).cast("int")), [3, 4])
+
+
+@query(_LAYERS + """SELECT src, layer, s AS "start", "start" - s AS dur FROM (SELECT *, coalesce(lag("start" + dur) OVER (PARTITION BY src, layer ORDER BY "start", ord), 0) AS s FROM l) WHERE "start" > s""")
+def q_gap_rows(spark, sf_dir):
+    return timeline.gap_rows(_layers(spark, sf_dir))
+
+
+@query(_TRACKS + """, f AS (SELECT track, "at", arg_min(alignment, ord) AS al FROM tr GROUP BY track, "at")
+SELECT t.track, t.ord, CAST(count(*) FILTER (f.al = 'center') OVER (PARTITION BY t.track ORDER BY t."start", t.ord) % 2 AS INT) AS parity FROM t LEFT JOIN f ON f.track = t.track AND f."at" = t."start" AND f.al <> 'end'""")
+def q_playlist_parity(spark, sf_dir):
+    t = _tracks(spark, sf_dir)
+    return timeline.playlist_parity(transitions.plan(t, transitions.dissolves(t, 12, 1))).select("track", "ord", "parity")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey // 100 AS src, l_partkey % 7 AS media, CAST(l_quantity AS BIGINT) AS "start", l_orderkey * 100 + l_linenumber AS "at", l_suppkey FROM lineitem),
+f AS (SELECT src, media, "start", min("at") AS first FROM r GROUP BY ALL),
+i AS (SELECT src, media, "start", row_number() OVER (PARTITION BY src ORDER BY first, media, "start") AS link FROM f)
+SELECT src, media, "start", count(*) AS clips, link FROM r JOIN i USING (src, media, "start") GROUP BY ALL""")
+def q_link_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(C.whole_div(F.col("l_orderkey"), 100).alias("src"), (F.col("l_partkey") % 7).alias("media"), F.col("l_quantity").cast("long").alias("start"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("at"))
+    return timeline.link_ids(rows).groupBy("src", "media", "start", "link").agg(F.count("*").alias("clips"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS v FROM orders),
+d AS (SELECT o_custkey, arg_min(v, o_orderkey) AS resolved FROM r WHERE v IS NOT NULL GROUP BY 1)
+SELECT o_orderkey, o_custkey, resolved FROM r LEFT JOIN d USING (o_custkey)""")
+def q_file_resolution(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("v"))
+    return timeline.first_definition(rows, "o_custkey", "v", "o_orderkey").select("o_orderkey", "o_custkey", "resolved")
+
+
+@query("""
+WITH m AS (SELECT 'p' || p_partkey || '.mp4' AS path, p_partkey FROM part), f AS (SELECT 'p' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.srt' ELSE '.txt' END AS path FROM supplier)
+SELECT path, p_partkey FROM m WHERE regexp_replace(path, '[.][^.]*$', '') IN (SELECT regexp_replace(path, '[.][^.]*$', '') FROM f WHERE path LIKE '%.srt')""")
+def q_sidecar_media(spark, sf_dir):
+    media = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".mp4")).alias("path"), "p_partkey")
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 2 == 0, ".srt").otherwise(".txt")).alias("path"))
+    return timeline.with_sidecar(media, files)
+
+
+@query("""
+WITH x AS (SELECT p_partkey, p_size * 40 AS w, p_size * 40 * 9 // 16 + p_partkey % 4 AS h FROM part),
+a(k, r, an, bn) AS (VALUES (0, '1:1', 1, 1), (1, '4:3', 4, 3), (2, '3:2', 3, 2), (3, '16:10', 16, 10), (4, '16:9', 16, 9), (5, '21:9', 21, 9), (6, '9:16', 9, 16), (7, '3:4', 3, 4), (8, '2:3', 2, 3), (9, '5:4', 5, 4), (10, '4:5', 4, 5), (11, '239:100', 239, 100), (12, '185:100', 185, 100)),
+d AS (SELECT p_partkey, w, h, abs(w * bn / an - h) AS off, k, r FROM x, a),
+b AS (SELECT p_partkey, w, h, min({'o': off, 'k': k, 'r': r}) AS m FROM d GROUP BY ALL)
+SELECT p_partkey, CAST(w AS INT) AS w, CAST(h AS INT) AS h, CASE WHEN m.o <= 2 THEN m.r END AS ratio, CAST(greatest(2, round(w * 0.5 / 2) * 2) AS INT) AS half_w FROM b""")
+def q_aspect_ratio(spark, sf_dir):
+    x = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 40).cast("int").alias("w"), (C.whole_div(F.col("p_size") * 40 * 9, 16) + F.col("p_partkey") % 4).cast("int").alias("h"))
+    return x.select("p_partkey", "w", "h", C.aspect_ratio(F.col("w"), F.col("h")).alias("ratio"), C.even_size(F.col("w"), F.col("h"), 0.5)[0].alias("half_w"))
+
+
+@query("""
+WITH s AS (SELECT event_type AS src, CAST(user_id % 2 AS INT) AS stream, CAST(event_id % 3 AS INT) AS channel, CAST((epoch_us(ts) - 1704067200000000) // 3600000000 AS INT) AS frame, CAST(least(value / 500, 1) * 65535 AS INT) AS u16 FROM events)
+SELECT src, frame, max(u16) AS u16 FROM s WHERE (stream = 0 AND channel = 0) OR (stream = 1 AND channel = 0) GROUP BY ALL""")
+def q_channel_select(spark, sf_dir):
+    frame = C.whole_div(A.micros("ts") - A.EPOCH_US, A.HOUR_US).cast("int")
+    level = F.round(F.least(F.col("value") / 500, F.lit(1.0)) * 65535).cast("int")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("src"), (F.col("user_id") % 2).cast("int").alias("stream"), (F.col("event_id") % 3).cast("int").alias("channel"), frame.alias("frame"), level.alias("u16"))
+    return series.selected_levels(rows, {0: "stereo", 1: "mono"}, "all", "left")
+
+
+@query(_CLIPS.rstrip() + """, m AS (SELECT *, coalesce(lag("start" + dur) OVER w = "start" AND lag("offset" + dur) OVER w = "offset", false) AS jl FROM c WINDOW w AS (PARTITION BY src ORDER BY "start", ord)),
+m2 AS (SELECT *, coalesce(lead(jl) OVER (PARTITION BY src ORDER BY "start", ord), false) AS jr FROM m),
+f AS (SELECT src, ord, dur, jl, jr, unnest(generate_series(0, dur - 1)) AS local FROM m2 WHERE src % 10 = 1)
+SELECT src, ord, local, round(100 * least(CASE WHEN jl THEN 1 ELSE least((local + 1) / 5, 1) END, CASE WHEN jr THEN 1 ELSE least((dur - local) / 5, 1) END), 6) AS v FROM f""")
+def q_edge_fade(spark, sf_dir):
+    own = _clips(spark, sf_dir).where("src % 10 = 1")
+    samples = own.select("src", "ord", F.explode(F.sequence(F.lit(0).cast("long"), F.col("dur") - 1)).alias("local"), F.lit(100.0).alias("v"))
+    return mixing.micro_fade(samples, own, 5).select("src", "ord", "local", F.round("v", 6).alias("v"))
+
+
+_ENVELOPE_STEP = "lambda acc, x: list_concat(acc, [CASE WHEN x[1] > 5e-1 THEN 2e-1 ELSE 1e0 END + (acc[-1] - CASE WHEN x[1] > 5e-1 THEN 2e-1 ELSE 1e0 END) * CASE WHEN (CASE WHEN x[1] > 5e-1 THEN 2e-1 ELSE 1e0 END) < acc[-1] THEN 5e-1 ELSE 9e-1 END])"
+
+
+@query(f"""
+WITH s AS (SELECT event_type AS src, user_id AS u, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) - 1 AS idx, value / 100 AS k FROM events),
+a AS (SELECT src, u, list(CAST(k AS DOUBLE) ORDER BY idx) AS ks FROM s GROUP BY ALL),
+e AS (SELECT src, u, list_reduce(list_concat([[CAST(1.0 AS DOUBLE)]], list_transform(ks, lambda k: [k])), {_ENVELOPE_STEP}) AS g FROM a)
+SELECT src, u, CAST(i AS BIGINT) AS idx, g[i + 2] AS gain FROM e, unnest(generate_series(0, len(g) - 2)) AS t(i)""")
+def q_duck_envelope(spark, sf_dir):
+    order = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("src"), F.col("user_id").alias("u"), (F.row_number().over(order) - 1).alias("idx"), (F.col("value") / 100).alias("k"))
+    keys = rows.groupBy("src", "u").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "k"))), lambda x: x["k"]).alias("ks"))
+    gains = keys.select("src", "u", F.posexplode(mixing.envelope(F.col("ks"), 0.5, 0.2, 0.5, 0.9)).alias("idx", "gain"))
+    return gains.select("src", "u", F.col("idx").cast("long").alias("idx"), "gain")
+
+
+@query(_LEVELS + """SELECT src, CAST(frame + 1 AS BIGINT) AS line, CAST(u16 AS VARCHAR) AS text FROM levels UNION ALL SELECT src, 0, '@start' FROM spine GROUP BY src UNION ALL SELECT src, CAST(max(frame) + 2 AS BIGINT), '' FROM spine GROUP BY src""")
+def q_level_lines(spark, sf_dir):
+    from framespan.sinks.dumps import level_lines
+
+    return level_lines(_levels(spark, sf_dir), raw=True)
+
+
+@query("""
+WITH s AS (SELECT conv_id AS src, turn * 2500 AS a, turn * 2500 + 1700 AS b, text FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT src, a, b, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY a, b, text) AS n FROM c WHERE text <> '')
+SELECT src, n, n || chr(10) || lpad(CAST(a // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST(a % 1000 AS VARCHAR), 3, '0') || ' --> '
+  || lpad(CAST(b // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(b // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(b // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST(b % 1000 AS VARCHAR), 3, '0') || chr(10) || text || chr(10) AS text FROM n""")
+def q_transcript_srt(spark, sf_dir):
+    from framespan.sinks.dumps import clean_transcript, transcript
+
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("src"), (F.col("turn") * 2500).alias("start_ms"), (F.col("turn") * 2500 + 1700).alias("end_ms"), "text")
+    return transcript(clean_transcript(rows), "srt")
+
+
+@query("""
+WITH s AS (SELECT conv_id AS src, turn * 2500 AS a, turn * 2500 + 1700 AS b, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE text IS NOT NULL)
+SELECT src, CAST(a AS BIGINT) AS start_ms, CAST(b AS BIGINT) AS end_ms, text FROM s WHERE text <> ''""")
+def q_srt_round_trip(spark, sf_dir):
+    from framespan.sources.subtitles import read_srt
+
+    blocks = q_transcript_srt(spark, sf_dir)
+    files = blocks.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    return read_srt(files)
+
+
+@query(_SMOOTH + """,
+v2 AS (SELECT src, "start", "end", CASE WHEN "on" THEN 'speed:1.5' ELSE 'speed:8' END AS eff, CASE WHEN "on" THEN 1.5 ELSE 8.0 END AS sp FROM smooth),
+b2 AS (SELECT src, "start" AS pos, eff, CAST(ceil("start" / sp) AS BIGINT) AS "offset", CASE WHEN round(("end" - "start") / sp) = 0 THEN 0 ELSE CAST(ceil("end" / sp) AS BIGINT) - CAST(ceil("start" / sp) AS BIGINT) END AS dur FROM v2),
+k2 AS (SELECT * FROM b2 WHERE dur > 0),
+fx AS (SELECT src, eff, row_number() OVER (PARTITION BY src ORDER BY min(pos)) - 1 AS effects FROM k2 GROUP BY src, eff)
+SELECT k2.src, row_number() OVER (PARTITION BY k2.src ORDER BY pos) - 1 AS ord, CAST(coalesce(sum(dur) OVER (PARTITION BY k2.src ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start", CAST(dur AS BIGINT) AS dur, "offset", effects
+FROM k2 JOIN fx ON fx.src = k2.src AND fx.eff = k2.eff""")
+def q_v2_round_trip(spark, sf_dir):
+    from framespan.sinks.timeline_json import v2_json
+    from framespan.sources.timeline_json import read_v2
+
+    rows = _smooth(spark, sf_dir).select("src", "start", "end", F.array(F.when(F.col("on"), "speed:1.5").otherwise("speed:8")).alias("effects"))
+    return read_v2(v2_json(rows, "30/1"), "json").select("src", "ord", "start", "dur", "offset", "effects")
+
+
+@query("""
+WITH f AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders), r(rate) AS (VALUES (8000), (11025), (12000), (16000), (22050), (24000), (32000), (44100), (48000), (88200), (96000)),
+x AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 100000 AS want FROM f)
+SELECT o_orderkey, want, CAST(min({'d': abs(rate - want), 'r': rate}).r AS INT) AS rate FROM x, r GROUP BY ALL""")
+def q_nearest_rate(spark, sf_dir):
+    from framespan.sources.media import nearest_rate
+
+    x = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor("o_totalprice") % 100000).cast("long").alias("want"))
+    return x.select("o_orderkey", "want", nearest_rate(F.col("want")).alias("rate"))

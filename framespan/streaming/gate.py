@@ -69,3 +69,33 @@ def gate_stream(windows: DataFrame, key: str = "src", **rule) -> DataFrame:
 def tumbling(samples: DataFrame, timestamp: str, value: str, width: str, watermark: str) -> DataFrame:
     """Loudest value of each window of time of a stream, once it can't change any more."""
     return samples.withWatermark(timestamp, watermark).groupBy("src", F.window(timestamp, width).alias("w")).agg(F.max(F.abs(value)).alias("top")).select("src", F.col("w.start").alias("start"), "top")
+
+
+def frame_differences(frames: DataFrame, key: str = "src") -> DataFrame:
+    """Share of pixels that changed since the frame before, over a stream of (key, idx, px) in order of idx within a key.
+
+    The last frame of each key is the state; the first of all has 0.
+    """
+    kind = dict(frames.dtypes)[key]
+
+    def step(group, pdfs, state):
+        last = state.get[0] if state.exists else None
+        for pdf in pdfs:
+            rows = []
+            for idx, px in sorted(zip(pdf["idx"], pdf["px"]), key=lambda x: x[0]):
+                px = [int(v) for v in px]
+                moved = 0.0 if last is None else sum(a != b for a, b in zip(last, px)) / max(len(px), 1)
+                rows.append((group[0], int(idx), moved))
+                last = px
+            yield pd.DataFrame(rows, columns=[key, "idx", "moved"])
+        state.update((last,))
+
+    return frames.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, idx long, moved double", "px array<int>", "append", "NoTimeout")
+
+
+def in_order(batches: DataFrame, write, checkpoint: str):
+    """Start a stream whose batches go to ``write(batch, number)`` one after another, none dropped.
+
+    How much a batch holds is set where the stream is read (``maxFilesPerTrigger``); a slow writer holds the stream back.
+    """
+    return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
