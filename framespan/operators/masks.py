@@ -1,15 +1,59 @@
-"""Boolean masks and label series over frames. A mask has a row for each frame of its length."""
+"""Boolean masks and label series over frames.
+
+A mask by itself has a row for each frame of its length. Masks over one table of frames are
+nullable Boolean columns instead, null beyond a mask's length: then a whole expression is a
+projection (``col_or`` and its like), without any shuffle. Masks of different tables are
+brought together by one aggregation (``any_of`` and its like, or ``wide``).
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framespan.functions.columns import u16
 
 
+def col_or(*operands: Column) -> Column:
+    """``or`` of nullable masks: null where all are, else missing ones are false."""
+    return F.when(F.coalesce(*operands).isNotNull(), reduce(lambda a, b: a | b, (F.coalesce(x, F.lit(False)) for x in operands)))
+
+
+def col_and(*operands: Column) -> Column:
+    """``and`` of nullable masks: null where any is."""
+    present = reduce(lambda a, b: a & b, (x.isNotNull() for x in operands))
+    return F.when(present, reduce(lambda a, b: a & b, operands))
+
+
+def col_xor(*operands: Column) -> Column:
+    """``xor`` of nullable masks: null where all are, else missing ones are false."""
+    odd = reduce(lambda a, b: a + b, (F.coalesce(x, F.lit(False)).cast("int") for x in operands)) % 2 == 1
+    return F.when(F.coalesce(*operands).isNotNull(), odd)
+
+
+def col_label(labelled: list[tuple[int, Column]]) -> Column:
+    """The highest label whose nullable mask is true, 0 where none is, null where all are missing."""
+    value = F.greatest(F.lit(0), *(F.when(F.coalesce(c, F.lit(False)), F.lit(k)).otherwise(0) for k, c in labelled))
+    return F.when(F.coalesce(*(c for _, c in labelled)).isNotNull(), value)
+
+
+def col_above(level: Column, threshold: float) -> Column:
+    return level >= u16(F.lit(threshold))
+
+
+def as_mask(frames: DataFrame, on: Column, name: str = "on") -> DataFrame:
+    """A mask (src, frame, on) from a nullable column of a table of frames."""
+    return frames.select("src", "frame", on.alias(name)).where(F.col(name).isNotNull())
+
+
+def wide(masks: dict[str, DataFrame]) -> DataFrame:
+    """Masks (src, frame, on) of different tables as nullable columns of one: one union, one aggregation."""
+    rows = (m.select("src", "frame", F.lit(k).alias("k"), "on") for k, m in masks.items())
+    return reduce(DataFrame.union, rows).groupBy("src", "frame").agg(*(F.max(F.when(F.col("k") == k, F.col("on"))).alias(k) for k in masks))
+
+
 def above(levels: DataFrame, threshold: float, column: str = "u16") -> DataFrame:
     """Mask of the frames at or above a threshold from 0 to 1."""
     return levels.select("src", "frame", (F.col(column) >= u16(F.lit(threshold))).alias("on"))

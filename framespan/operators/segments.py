@@ -14,14 +14,14 @@ def _by_frame() -> Window:
     return Window.partitionBy("src").orderBy("frame")
 
 
-def margin(mask: DataFrame, start: int, end: int) -> DataFrame:
+def margin(mask: DataFrame, start: int, end: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Move the starts and ends of true runs outwards (positive) or inwards (negative).
 
     Edges are those of the mask as it was; the end rule has the last word. A run at the
-    first frame has no start edge, one at the last frame no end edge.
+    first frame has no start edge, one at the last frame no end edge. Columns in ``keep`` stay.
     """
-    edges = mask.select("src", "frame", "on", F.lag("on").over(_by_frame()).alias("was"))
-    edges = edges.select("src", "frame", "on", F.coalesce(F.col("on") & ~F.col("was"), F.lit(False)).alias("s"), F.coalesce(~F.col("on") & F.col("was"), F.lit(False)).alias("e"))
+    edges = mask.select("src", "frame", "on", *keep, F.lag("on").over(_by_frame()).alias("was"))
+    edges = edges.select("src", "frame", "on", *keep, F.coalesce(F.col("on") & ~F.col("was"), F.lit(False)).alias("s"), F.coalesce(~F.col("on") & F.col("was"), F.lit(False)).alias("e"))
 
     def near(edge: str, low: int, high: int):
         return F.coalesce(F.bool_or(edge).over(_by_frame().rowsBetween(low, high)), F.lit(False))
@@ -35,7 +35,7 @@ def margin(mask: DataFrame, start: int, end: int) -> DataFrame:
         out = F.when(near("e", 1 - end, 0), True).otherwise(out)
     elif end < 0:
         out = F.when(near("e", 1, -end), False).otherwise(out)
-    return edges.select("src", "frame", out.alias("on"))
+    return edges.select("src", "frame", out.alias("on"), *keep)
 
 
 def runs(series: DataFrame, value: str = "on") -> DataFrame:

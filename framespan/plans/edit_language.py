@@ -10,7 +10,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from framespan.functions.values import suggestion, threshold
 from framespan.operators import masks
@@ -225,6 +226,31 @@ def compile_mask(node: Node, context: Context) -> DataFrame:
     return masks.cue_mask(context.cues(int(bound["stream"])), pattern, boolean(bound["ignore-case"]))
 
 
+_COLUMN_OPERATORS = {"or": masks.col_or, "and": masks.col_and, "xor": masks.col_xor}
+
+
+def compile_column(node: Node, level: Callable[[str, dict[str, str]], Column], length: Column, frame: Column) -> Column:
+    """The nullable mask of an expression over a table of frames that already has all level series as columns.
+
+    The whole expression is one projection. ``level`` gives the column of a method (null beyond
+    its length), ``length`` the frames of the source.
+    """
+    name = node.name if node.name is not None else node.value
+    if node.name is None and not node.quoted and name in CONSTANTS:
+        return F.when(frame < length, F.lit(True)) if CONSTANTS[name] else F.lit(None).cast("boolean")
+    if name in _COLUMN_OPERATORS:
+        if not node.args:
+            raise EditError(f"{name} needs an operand")
+        return _COLUMN_OPERATORS[name](*(compile_column(a, level, length, frame) for a in node.args))
+    if name == "not":
+        if len(node.args) != 1:
+            raise EditError("not takes one operand")
+        return ~compile_column(node.args[0], level, length, frame)
+    bound = bind(node)
+    own = level(name, bound)
+    return masks.col_above(own, threshold(bound["threshold"])) if METHODS[name].medium != "subtitle" else own
+
+
 def compile_labels(edits: dict[int, str], context: Context) -> DataFrame:
     """Labels (src, frame, label) of several labelled expressions; the highest label wins."""
     for k in edits:

@@ -96,9 +96,13 @@ def _loud(spark, sf_dir) -> DataFrame:
     return masks.above(_levels(spark, sf_dir), THRESHOLD)
 
 
-def _busy(spark, sf_dir) -> DataFrame:
-    """A second method, of another length: the number of events, over the first 600 frames."""
-    return masks.above(_levels(spark, sf_dir).where("frame < 600"), 0.15, "u16_count")
+#: Nullable masks over the table of levels: the highest value, and the number of events over the first 600 frames.
+def _loud_column():
+    return masks.col_above(F.col("u16"), THRESHOLD)
+
+
+def _busy_column():
+    return masks.col_above(F.when(F.col("frame") < 600, F.col("u16_count")), 0.15)
 
 
 @query(_LEVELS + "SELECT src, frame, u16, u16_count FROM levels")
@@ -167,22 +171,30 @@ def q_threshold_mask(spark, sf_dir):
 
 @query(_LEVELS + 'SELECT src, frame, coalesce(a."on", false) OR coalesce(b."on", false) AS "on" FROM loud a FULL JOIN busy b USING (src, frame)')
 def q_mask_or(spark, sf_dir):
-    return masks.any_of([_loud(spark, sf_dir), _busy(spark, sf_dir)])
+    return masks.as_mask(_levels(spark, sf_dir), masks.col_or(_loud_column(), _busy_column()))
 
 
 @query(_LEVELS + 'SELECT src, frame, a."on" AND b."on" AS "on" FROM loud a JOIN busy b USING (src, frame)')
 def q_mask_and(spark, sf_dir):
-    return masks.all_of([_loud(spark, sf_dir), _busy(spark, sf_dir)])
+    return masks.as_mask(_levels(spark, sf_dir), masks.col_and(_loud_column(), _busy_column()))
 
 
 @query(_LEVELS + 'SELECT src, frame, coalesce(a."on", false) <> coalesce(b."on", false) AS "on" FROM loud a FULL JOIN busy b USING (src, frame)')
 def q_mask_xor(spark, sf_dir):
-    return masks.odd_of([_loud(spark, sf_dir), _busy(spark, sf_dir)])
+    return masks.as_mask(_levels(spark, sf_dir), masks.col_xor(_loud_column(), _busy_column()))
 
 
 @query(_LEVELS + 'SELECT src, frame, NOT "on" AS "on" FROM loud')
 def q_mask_not(spark, sf_dir):
-    return masks.none_of(_loud(spark, sf_dir))
+    return masks.as_mask(_levels(spark, sf_dir), ~_loud_column())
+
+
+@query(_LEVELS + """, m1 AS (SELECT src, frame, "on" FROM loud), m2 AS (SELECT src, frame, "on" FROM busy)
+SELECT src, frame, coalesce(a."on", false) OR coalesce(b."on", false) AS "on" FROM m1 a FULL JOIN m2 b USING (src, frame)""")
+def q_mask_tables(spark, sf_dir):
+    """``or`` of masks that come as tables of their own lengths."""
+    levels = _levels(spark, sf_dir)
+    return masks.any_of([masks.as_mask(levels, _loud_column()), masks.as_mask(levels, _busy_column())])
 
 
 @query(_LEVELS + "SELECT src, frame, true AS \"on\" FROM spine UNION ALL SELECT src, frame, false FROM spine WHERE false")
@@ -193,16 +205,16 @@ def q_mask_constants(spark, sf_dir):
 
 @query(_LEVELS + 'SELECT src, frame, CASE WHEN coalesce(b."on", false) THEN 2 WHEN a."on" THEN 1 ELSE 0 END AS label FROM loud a FULL JOIN busy b USING (src, frame)')
 def q_label_max(spark, sf_dir):
-    return masks.merge_labels([(1, _loud(spark, sf_dir)), (2, _busy(spark, sf_dir))])
+    return masks.as_mask(_levels(spark, sf_dir), masks.col_label([(1, _loud_column()), (2, _busy_column())]), "label")
 
 
 @query(_LEVELS + _margin_sql(1, 1) + """, labels AS (SELECT src, frame, CASE WHEN coalesce(b."on", false) AND a."on" THEN 2 WHEN a."on" THEN 1 ELSE 0 END AS label FROM loud a LEFT JOIN busy b USING (src, frame))
 SELECT src, frame, CASE WHEN NOT m."on" THEN 0 WHEN label = 0 THEN 1 ELSE label END AS label FROM labels JOIN margin m USING (src, frame)""")
 def q_label_fold_back(spark, sf_dir):
-    loud = _loud(spark, sf_dir)
-    labels = masks.merge_labels([(1, loud), (2, masks.all_of([loud, _busy(spark, sf_dir)]))])
-    active = labels.select("src", "frame", (F.col("label") != 0).alias("on"))
-    return masks.fold_back(labels, segments.margin(active, 1, 1))
+    loud = _loud_column()
+    labels = masks.as_mask(_levels(spark, sf_dir), masks.col_label([(1, loud), (2, masks.col_and(loud, _busy_column()))]), "label")
+    active = segments.margin(labels.select("src", "frame", (F.col("label") != 0).alias("on"), "label"), 1, 1, keep=("label",))
+    return active.select("src", "frame", F.when(~F.col("on"), 0).when(F.col("label") == 0, 1).otherwise(F.col("label")).alias("label"))
 
 
 @query(_LEVELS + _margin_sql(2, 3) + 'SELECT src, frame, "on" FROM margin')
@@ -616,12 +628,11 @@ def q_timecode(spark, sf_dir):
 e AS (SELECT src, frame, coalesce(a."on", false) OR coalesce(b."on", false) AS "on" FROM loud a FULL JOIN (SELECT src, frame, NOT "on" AS "on" FROM busy) b USING (src, frame))
 SELECT src, frame, "on" FROM e""")
 def q_edit_expression(spark, sf_dir):
-    """``or audio:20% (not motion:0.15)`` with the two level series as methods."""
+    """``or audio:20% (not motion:0.15)`` with the two level series as methods: one projection."""
     levels = _levels(spark, sf_dir)
-    own = {"audio": levels.select("src", "frame", "u16"), "motion": levels.where("frame < 600").select("src", "frame", F.col("u16_count").alias("u16"))}
-    lengths = levels.groupBy("src").agg((F.max("frame") + 1).alias("length"))
-    context = lang.Context(lambda method, bound: own[method], lengths)
-    return lang.compile_mask(lang.parse("or audio:20% (not motion:0.15)"), context)
+    own = {"audio": F.col("u16"), "motion": F.when(F.col("frame") < 600, F.col("u16_count"))}
+    expression = lang.compile_column(lang.parse("or audio:20% (not motion:0.15)"), lambda method, bound: own[method], F.lit(1 << 30), F.col("frame"))
+    return masks.as_mask(levels, expression)
 
 
 @query(_TIMELINE + """, adds(seq, selector, path, follow) AS (VALUES (0, 1, 'logo.png', false), (1, 0, 'cam2.mp4', true), (2, 9, 'none.png', true))

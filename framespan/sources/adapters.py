@@ -15,7 +15,8 @@ FULL_SCALE, FULL_COUNT = 500.0, 20.0
 
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
-    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(ts) if isinstance(ts, str) else ts)
+    since = (F.col(ts) if isinstance(ts, str) else ts) - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
 def event_frames(events: DataFrame, bucket_us: int = HOUR_US, origin_us: int = EPOCH_US) -> DataFrame:
@@ -25,10 +26,14 @@ def event_frames(events: DataFrame, bucket_us: int = HOUR_US, origin_us: int = E
 
 
 def dense(frames: DataFrame) -> DataFrame:
-    """One row for every frame from 0 to the last of each source, absent ones with nulls."""
-    last = frames.groupBy("src").agg(F.max("frame").alias("last"))
-    spine = last.select("src", F.explode(F.sequence(F.lit(0), "last")).alias("frame"))
-    return spine.join(frames, ["src", "frame"], "left")
+    """One row for every frame from 0 to the last of each source, absent ones with nulls.
+
+    Each frame spells out those since the one before it, so the series is read once.
+    """
+    low = F.coalesce(F.lag("frame").over(Window.partitionBy("src").orderBy("frame")) + 1, F.lit(0))
+    values = [c for c in frames.columns if c not in ("src", "frame")]
+    spelled = frames.withColumn("low", low).select("src", "frame", *values, F.explode(F.sequence("low", "frame")).alias("at"))
+    return spelled.select("src", F.col("at").alias("frame"), *(F.when(F.col("at") == F.col("frame"), F.col(c)).alias(c) for c in values))
 
 
 def event_levels(events: DataFrame, **kw) -> DataFrame:
