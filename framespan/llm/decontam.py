@@ -44,7 +44,7 @@ def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def find_occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of benchmark windows: (k1, k2, start, len, wid) by text key, and (wid, item_id) of the windows.
+    """Occurrences of benchmark windows: (k1, k2, n, start, len, wid) by text key, n the words of the text, and (wid, item_id) of the windows.
 
     (k1, k2) is a 128-bit key of a text; equal texts share their occurrences.
     """
@@ -76,7 +76,7 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame,
     rarest = found.groupBy("wid", "len", "width", "need").agg(F.min(F.struct("df", "h", "off")).alias("r"), F.count("*").alias("have")).where("have = need")
     prefix = _sized(work.write(rarest.select("wid", "len", "width", F.col("r.h").alias("h"), F.col("r.off").alias("off")), "prefix"), 128)
     candidates = hits.join(prefix, "h").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + len <= n")
-    candidates = work.write(candidates.select("k1", "k2", "start", "len", "wid").distinct(), "candidates")
+    candidates = work.write(candidates.select("k1", "k2", "n", "start", "len", "wid").distinct(), "candidates")
 
     # Every fifth shingle and the last one cover the whole window.
     cover = tokens.where("off % width = 0 or off = len - width").select("wid", "off", "h")
@@ -84,12 +84,12 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame,
     wanted = candidates.join(cover, "wid").withColumn("pos", F.col("start") + F.col("off"))
     held = wanted.join(hits.select("k1", "k2", "pos", "h").distinct(), ["k1", "k2", "pos", "h"])
     parts = F.ceil(F.col("len") / F.least(F.col("len"), F.lit(SHINGLE_WORDS)))
-    sure = held.groupBy("k1", "k2", "start", "len", "wid").agg(F.count("*").alias("held")).where(F.col("held") >= parts)
+    sure = held.groupBy("k1", "k2", "n", "start", "len", "wid").agg(F.count("*").alias("held")).where(F.col("held") >= parts)
     return work.write(sure.drop("held"), "occurrences"), windows.select("wid", "item_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per text key with an occurrence: (k1, k2, n_hit, n_items, items_sha256).
+    """One row per text key with an occurrence: (k1, k2, n, n_hit, n_items, items_sha256), n the words of the text.
 
     Null and empty texts have no words; items without words have no windows; an item whose
     id is null marks words as hit but is not listed.
@@ -98,16 +98,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     order = Window.partitionBy("k1", "k2").orderBy("start", "len", "wid")
     before = F.coalesce(F.max(F.col("start") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("len") - F.greatest("start", before))
-    hit = occurrences.select("k1", "k2", fresh.alias("fresh")).groupBy("k1", "k2").agg(F.sum("fresh").alias("n_hit"))
+    hit = occurrences.select("k1", "k2", "n", fresh.alias("fresh")).groupBy("k1", "k2").agg(F.sum("fresh").alias("n_hit"), F.first("n").alias("n"))
     owned = occurrences.select("k1", "k2", "wid").distinct().join(owners, "wid").select("k1", "k2", F.col("item_id").cast("string").alias("item"))
     listed = owned.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return hit.join(listed, ["k1", "k2"]).select("k1", "k2", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return hit.join(listed, ["k1", "k2"]).select("k1", "k2", "n", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     counted = docs.select("doc_id", *_text_keys(), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    joined = counted.join(contamination(docs, benchmark), ["k1", "k2"], "left")
+    joined = counted.join(contamination(docs, benchmark).drop("n"), ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         "doc_id",
@@ -122,8 +122,7 @@ def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated (a twentieth of their words hit, or more)."""
     keyed = docs.select("*", F.xxhash64("text").alias("__k1"), F.xxhash64(F.lit(17), F.col("text")).alias("__k2"))
-    split = docs.select(*_text_keys(), F.size(words_of(F.col("text"))).alias("n")).distinct()
-    bad = contamination(docs, benchmark).join(split, ["k1", "k2"]).where("n_hit * 20 >= n").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    bad = contamination(docs, benchmark).where("n_hit * 20 >= n").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
     return keyed.join(bad, ["__k1", "__k2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

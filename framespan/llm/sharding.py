@@ -23,6 +23,8 @@ SHARDS, ROW_BYTES = 24, 8
 PROBES, TOLERANCE = 4096, 0.001
 #: Bytes that one task of the exchange should have.
 PIECE_BYTES = 128 << 20
+#: Tasks of the exchange, at most: their splitters and counts are held by the driver.
+MAX_PIECES = 8192
 _HASH_BITS = 60
 _LEVELS = ("h", "dh", "dl", "rid")
 _LOWEST = (0, -(1 << 40), -1, -1)
@@ -99,7 +101,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, payload: tuple[str, ..
     )
     rows = work.write(rows, "rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    per = max(1, -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PIECE_BYTES) // shards))
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PIECE_BYTES)
+    per = max(1, min(-(-wanted // shards), MAX_PIECES // shards))
     pieces = per * shards
     keys = rows.select(*_LEVELS, "size")
     targets = [total * k / pieces for k in range(1, pieces)]
