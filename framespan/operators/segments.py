@@ -100,11 +100,13 @@ def override(labels: DataFrame, ranges: DataFrame, lengths: DataFrame) -> DataFr
     A range may extend the series up to the source's length; frames that are then missing have label 0.
     """
     painted = normalized(ranges, lengths).select("src", "seq", "action", F.explode(F.sequence(F.col("start").cast("int"), (F.col("stop") - 1).cast("int"))).alias("frame"))
-    last = painted.groupBy("src", "frame").agg(F.max_by("action", "seq").alias("action"))
-    joined = labels.join(last, ["src", "frame"], "full")
-    reach = joined.groupBy("src").agg(F.max("frame").alias("reach"))
-    spine = reach.select("src", F.explode(F.sequence(F.lit(0), "reach")).alias("frame"))
-    return spine.join(joined, ["src", "frame"], "left").select("src", "frame", F.coalesce("action", "label", F.lit(0)).alias("action"))
+    rows = labels.select("src", "frame", "label", F.lit(None).cast("int").alias("action"), F.lit(None).cast("int").alias("seq"))
+    rows = rows.union(painted.select("src", "frame", F.lit(None).cast("int"), "action", "seq"))
+    last = rows.groupBy("src", "frame").agg(F.max("label").alias("label"), F.max_by("action", "seq").alias("action"))
+    # Frames between what the labels and the ranges name have no row yet: each row spells out those before it.
+    low = F.coalesce(F.lag("frame").over(_by_frame()) + 1, F.lit(0))
+    spelled = last.withColumn("low", low).select("src", "label", "action", F.col("frame").alias("own"), F.explode(F.sequence("low", "frame")).alias("frame"))
+    return spelled.select("src", "frame", F.when(F.col("frame") == F.col("own"), F.coalesce("action", "label")).alias("action")).select("src", "frame", F.coalesce("action", F.lit(0)).alias("action"))
 
 
 def complement(spans: DataFrame, lengths: DataFrame) -> DataFrame:
