@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from framespan.llm.components import connected_components
 from framespan.llm.shingles import groups, mix, shingle_batch
 from framespan.llm.storage import Workspace
-from framespan.llm.worker import ROWS, release
+from framespan.llm.worker import ROWS, release, trim
 
 SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 85
 SIDE, WIDTH = 7, 2
@@ -63,6 +63,7 @@ def _signatures(batches):
                 ],
                 names=["doc_id", "t1", "t2", "n", "c", "keys"],
             )
+    trim()
 
 
 def _full_sets(batches):
@@ -74,6 +75,7 @@ def _full_sets(batches):
             begin = np.cumsum(number) - number
             sets = [np.unique(hashes[b : b + n]).view(np.int64) for b, n in zip(begin, number)]
             yield pa.RecordBatch.from_arrays([batch.column("c").slice(low, high - low), pa.array(sets, pa.list_(pa.int64()))], names=["c", "s"])
+    trim()
 
 
 def _text_keys() -> list:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
@@ -9,12 +11,13 @@ import pyarrow as pa
 #: Rows of a batch that are Python objects at once.
 ROWS = 256
 _held: dict[Hashable, object] = {}
+_libc = ctypes.CDLL(None)
 
 
 def held(key: Hashable, make: Callable[[], object]):
     """The object made for ``key``; what was held for another key before is let go, as workers outlive stages."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
@@ -22,6 +25,15 @@ def held(key: Hashable, make: Callable[[], object]):
 def release() -> None:
     """Let go what is held, at the start of work that holds nothing."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: idle workers stay beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def parts(column: pa.Array, rows: int = ROWS) -> Iterator[list]:
