@@ -234,7 +234,8 @@ class _Writer:
         comment = lambda: f'<{(t := r.choice(("div", "li", "article")))} class="{r.choice(("comment", "reply", "comment-body"))}"><p>{self.text(4)}</p></{t}>' if r.random() < 0.7 else f"<div><p>{self.text(4)}</p></div>"
         comments = f'<{(t := r.choice(("section", "div", "ol")))} data-label="0" {r.choice(("id", "class"))}="{r.choice(("comments", "comment-list", "discussion", "responses comments-area", "reader-comments", "disqus_thread"))}">{heading()}{"".join(comment() for _ in range(r.randint(1, 6)))}</{t}>'
         share = f'<div data-label="0" class="{r.choice(("share", "social-links", "share-buttons"))}">{self.links(r.randint(2, 5))}</div>'
-        return [ad, notice, form, side, comments, share]
+        line = f'<p data-label="0" class="{r.choice(("ad", "advert", "advertisement", "sponsored", "notice", "promo"))}">{self.text(2)}</p>'
+        return [ad, notice, form, side, comments, share, line]
 
     def content(self) -> list[str]:
         r = self.r
@@ -276,6 +277,9 @@ class _Writer:
             body = f'<div data-label="1">{body}</div>'
         if r.random() < 0.3:
             body = f'<{(t := r.choice(("main", "div", "section")))} data-label="1">{body}</{t}>'
+        if r.random() < 0.06:
+            cell = f'<td data-label="0" class="{r.choice(("nav", "menu", "sidebar", "left-nav"))}">{self.links(r.randint(2, 6))}</td>'
+            body = f'<table data-label="1"><tr>{cell}<td>{body}</td></tr></table>'
         before, after = [], []
         if r.random() < 0.85:
             before.append(self.one("nav", "div", ("nav", "menu", "main-menu", "navbar", "breadcrumbs"), self.links(r.randint(2, 9))))
