@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from framespan.llm.dom import Page, read
 from framespan.llm.shingles import groups
+from framespan.llm.storage import small_batches
 from framespan.llm.worker import parts
 
 _TAGS = {t: k for k, names in enumerate((
@@ -337,5 +338,6 @@ def op9(pages: DataFrame) -> DataFrame:
 
     Null and empty pages have an empty text; repeated rows give equal texts.
     """
+    small_batches(pages.sparkSession)
     found = pages.select("page_id", "url", extractor(default_model())(F.coalesce(F.col("html").cast("string"), F.lit(""))).alias("text"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

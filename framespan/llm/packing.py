@@ -27,7 +27,7 @@ from framespan.llm.worker import held, parts
 
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers; beyond it, it begins anew.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 _PIECE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Marks that the tokenizer never joins with the letters before them.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framespan.llm.boosting import Trees, fit
+from framespan.llm.storage import small_batches
 from framespan.llm.worker import parts, release
 
 #: Labelled documents that the trees are fitted on, at most.
@@ -75,6 +76,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, allowed, most
 
 def train(docs: DataFrame, labels: DataFrame) -> Trees:
     """Fit on at most ``MAX_TRAINING_ROWS`` labelled documents, none of them held out."""
+    small_batches(docs.sparkSession)
     allowed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     rows = training_rows(docs, labels, "quality", allowed, MAX_TRAINING_ROWS).select("doc_id", "label", _statistics("text").alias("x"))
     found = rows.orderBy(F.xxhash64("doc_id", "x"), "label").limit(MAX_TRAINING_ROWS).select("label", "x").collect()

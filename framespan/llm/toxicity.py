@@ -91,7 +91,7 @@ class _Emissions(dict):
         self.chain = chain
 
     def __missing__(self, word: str) -> float | None:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         e = self.chain.emission(word)
         if len(word) <= 64:

@@ -24,8 +24,9 @@ def held(key: Hashable, make: Callable[[], object]):
 
 def release() -> None:
     """Let go what is held, at the start of work that holds nothing."""
-    _held.clear()
-    trim()
+    if _held:
+        _held.clear()
+        trim()
 
 
 def trim() -> None:
