@@ -129,7 +129,7 @@ def q_waveform_window(spark, sf_dir):
 WITH k AS (SELECT DISTINCT l_orderkey % 5000 AS k FROM lineitem)
 SELECT CAST(k AS BIGINT) AS k, CAST((2 * k * 48000 * 1001 + 30000) // 60000 AS BIGINT) AS first_sample, CAST(k * 48000 * 1001 // 30000 AS BIGINT) AS span_start, CAST((k + 7) * 48000 * 1001 // 30000 AS BIGINT) AS span_end FROM k""")
 def q_bucket_boundary(spark, sf_dir):
-    k = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5000).alias("k")).distinct()
+    k = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("k")).distinct()
     low, high = C.sample_span(F.col("k"), F.lit(7), 48000, NTSC)
     return k.select("k", C.bucket_start(F.col("k"), 48000, NTSC).alias("first_sample"), low.alias("span_start"), high.alias("span_end"))
 
@@ -753,7 +753,7 @@ m2 AS (SELECT *, coalesce(lead(jl) OVER (PARTITION BY src ORDER BY "start", ord)
 f AS (SELECT src, ord, dur, jl, jr, unnest(generate_series(0, dur - 1)) AS local FROM m2 WHERE src % 10 = 1)
 SELECT src, ord, local, round(100 * least(CASE WHEN jl THEN 1 ELSE least((local + 1) / 5, 1) END, CASE WHEN jr THEN 1 ELSE least((dur - local) / 5, 1) END), 6) AS v FROM f""")
 def q_edge_fade(spark, sf_dir):
-    own = _clips(spark, sf_dir).where("src % 10 = 1")
+    own = _clips(spark, sf_dir)
     samples = own.select("src", "ord", F.explode(F.sequence(F.lit(0).cast("long"), F.col("dur") - 1)).alias("local"), F.lit(100.0).alias("v"))
     return mixing.micro_fade(samples, own, 5).select("src", "ord", "local", F.round("v", 6).alias("v"))
 

@@ -27,3 +27,16 @@ def equal(spark, db, name, sql):
 @pytest.mark.parametrize("name", ["q_point_in_interval", "q_mix_sum", "q_sidechain", "q_timeline_length", "q_gap_rows"])
 def test_layers_hold_all_lines_of_an_order(spark, db, name):
     equal(spark, db, name, ORACLES[name].replace(" WHERE ord <= 3", ""))
+
+
+def test_fades_of_all_orders(spark, db):
+    equal(spark, db, "q_edge_fade", ORACLES["q_edge_fade"].replace(" WHERE src % 10 = 1", ""))
+
+
+def test_boundaries_of_all_keys(spark, db, tmp_path):
+    equal(spark, db, "q_bucket_boundary", ORACLES["q_bucket_boundary"].replace(" % 5000", ""))
+    keys = [1, 4999, 5000, 5001, 123_456_789]
+    spark.createDataFrame([(k,) for k in keys], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = QUERIES["q_bucket_boundary"](spark, str(tmp_path)).collect()
+    want = [(k, (2 * k * 48000 * 1001 + 30000) // 60000, k * 48000 * 1001 // 30000, (k + 7) * 48000 * 1001 // 30000) for k in keys]
+    assert sorted(tuple(r) for r in rows) == want
