@@ -541,7 +541,7 @@ p AS (SELECT src, ord, frame, CASE WHEN dur <= 1 THEN 0.0 ELSE least((frame - "s
 e AS (SELECT src, ord, frame, 2 * (CASE WHEN t < 0.5 THEN 2 * t * t ELSE 1 - (2 - 2 * t) * (2 - 2 * t) / 2 END) AS x FROM p)
 SELECT src, ord, frame, round(CASE WHEN floor(x) >= 2 THEN 1.0 WHEN floor(x) = 0 THEN 1.0 + (0.5 - 1.0) * x ELSE 0.5 + (1.0 - 0.5) * (x - 1) END, 6) AS value FROM e""")
 def q_keyframe_sample(spark, sf_dir):
-    own = mixing.ramp(_clips(spark, sf_dir).where("ord = 2"), [1.0, 0.5, 1.0], "inout")
+    own = mixing.ramp(_clips(spark, sf_dir), [1.0, 0.5, 1.0], "inout")
     return own.select("src", "ord", "frame", F.round("value", 6).alias("value"))
 
 

@@ -40,3 +40,7 @@ def test_boundaries_of_all_keys(spark, db, tmp_path):
     rows = QUERIES["q_bucket_boundary"](spark, str(tmp_path)).collect()
     want = [(k, (2 * k * 48000 * 1001 + 30000) // 60000, k * 48000 * 1001 // 30000, (k + 7) * 48000 * 1001 // 30000) for k in keys]
     assert sorted(tuple(r) for r in rows) == want
+
+
+def test_ramps_of_all_clips(spark, db):
+    equal(spark, db, "q_keyframe_sample", ORACLES["q_keyframe_sample"].replace(" WHERE ord = 2", ""))
