@@ -357,8 +357,8 @@ SELECT c.src, CAST(c."start" + greatest(c."offset", q.s) - c."offset" AS BIGINT)
 FROM clips c JOIN cues q ON c.src = q.src AND greatest(c."offset", q.s) < least(c."offset" + c.dur, q.s + q.dur)""")
 def q_cue_retime(spark, sf_dir):
     cues = A.conversation_cues(table(spark, sf_dir, "conversations"))
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))
-    clips = cues.where("text is not null").select("src").distinct().select("src", k.alias("k")).select("src", (F.col("k") * 300).alias("offset"), F.lit(200).cast("long").alias("dur"), (F.col("k") * 200).alias("start"))
+    k = F.explode(F.sequence(F.lit(0).cast("long"), C.whole_div(F.col("length") - 1, 300)))
+    clips = cues.where("text is not null").groupBy("src").agg(F.max("end").alias("length")).select("src", k.alias("k")).select("src", (F.col("k") * 300).alias("offset"), F.lit(200).cast("long").alias("dur"), (F.col("k") * 200).alias("start"))
     return masks.cue_overlaps(cues.where("text is not null"), clips)
 
 

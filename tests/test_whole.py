@@ -44,3 +44,15 @@ def test_boundaries_of_all_keys(spark, db, tmp_path):
 
 def test_ramps_of_all_clips(spark, db):
     equal(spark, db, "q_keyframe_sample", ORACLES["q_keyframe_sample"].replace(" WHERE ord = 2", ""))
+
+
+def test_retimed_cues_up_to_the_end_of_each_conversation(spark, db):
+    clips = "FROM (SELECT src, unnest(generate_series(0, CAST((length - 1) // 300 AS BIGINT))) AS k FROM len)"
+    equal(spark, db, "q_cue_retime", ORACLES["q_cue_retime"].replace("FROM (SELECT DISTINCT src FROM cues), generate_series(0, 3) AS g(k)", clips))
+
+
+def test_retimed_cue_of_a_long_conversation(spark, tmp_path):
+    rows = [(1, 0, "a" * 1150), (1, 1, "b" * 100), (2, 0, "c")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r["src"], r["start"], r["end"], r["text"][0]) for r in QUERIES["q_cue_retime"](spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 200, "a"), (1, 200, 400, "a"), (1, 400, 600, "a"), (1, 600, 800, "a"), (1, 800, 850, "b"), (2, 0, 1, "c")]
