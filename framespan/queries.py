@@ -601,7 +601,11 @@ def q_sort_dedupe(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 255")
 def q_top_oldest(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey").limit(255)
+    """The orders beyond the newest 255."""
+    from framespan.sinks.dumps import keep_newest
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"))
+    return keep_newest(orders, 255).select(F.col("path").alias("o_orderkey"), F.col("mtime").alias("o_orderdate"))
 
 
 @query("""

@@ -72,8 +72,12 @@ def clip_sequence(clips: DataFrame, path: str) -> None:
 
 
 def keep_newest(cache: DataFrame, most: int = 255) -> DataFrame:
-    """Cache entries (path, mtime) beyond the newest ``most``: those to delete, oldest first."""
-    from pyspark.sql import functions as f
-
-    ranked = cache.withColumn("rank", f.row_number().over(Window.orderBy(f.desc("mtime"), "path")))  # a few hundred file names
-    return ranked.where(ranked["rank"] > most).select("path", "mtime").orderBy("mtime", "path")
+    """Cache entries (path, mtime) beyond the newest ``most``: those to delete, oldest first.
+
+    Only the newest are gathered; equal entries are counted, so that as many stay as are among the newest.
+    """
+    newest = cache.orderBy(F.desc("mtime"), "path").limit(most).groupBy("path", "mtime").agg(F.count("*").alias("kept"))
+    entries = cache.groupBy("path", "mtime").agg(F.count("*").alias("n"))
+    both = entries.alias("e").join(F.broadcast(newest.alias("k")), F.expr("e.path <=> k.path and e.mtime <=> k.mtime"), "left")
+    left = both.select("e.path", "e.mtime", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("left")).where("left > 0")
+    return left.select("path", "mtime", F.explode(F.sequence(F.lit(1).cast("long"), "left"))).select("path", "mtime").orderBy("mtime", "path")

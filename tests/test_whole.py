@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from framespan.queries import ORACLES, QUERIES
+from framespan.sinks.dumps import keep_newest
 
 AT = "/root/testdata/sf0.001"
 TABLES = ("lineitem", "conversations", "orders")
@@ -56,3 +57,18 @@ def test_retimed_cue_of_a_long_conversation(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((r["src"], r["start"], r["end"], r["text"][0]) for r in QUERIES["q_cue_retime"](spark, str(tmp_path)).collect())
     assert got == [(1, 0, 200, "a"), (1, 200, 400, "a"), (1, 400, 600, "a"), (1, 600, 800, "a"), (1, 800, 850, "b"), (2, 0, 1, "c")]
+
+
+def test_orders_beyond_the_newest(spark, db, tmp_path):
+    equal(spark, db, "q_top_oldest", "SELECT o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) > 255")
+    few = spark.read.parquet(f"{AT}/orders.parquet").limit(255)
+    few.write.parquet(f"{tmp_path}/orders.parquet")
+    assert QUERIES["q_top_oldest"](spark, str(tmp_path)).count() == 0
+
+
+def test_newest_of_equal_and_null_entries(spark):
+    rows = [("a", 3), ("b", 2), ("b", 2), ("b", 2), (None, 2), ("c", None), ("d", 1)]
+    cache = spark.createDataFrame(rows, "path string, mtime long")
+    for most, want in ((3, [("c", None), ("d", 1), ("b", 2), ("b", 2)]), (6, [("c", None)]), (7, []), (0, [("c", None), ("d", 1), (None, 2), ("b", 2), ("b", 2), ("b", 2), ("a", 3)])):
+        assert [tuple(r) for r in keep_newest(cache, most).collect()] == want
+    assert "Window" not in keep_newest(cache)._jdf.queryExecution().executedPlan().toString()
