@@ -114,10 +114,11 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.85 or more.
 
     Takes ``doc_id`` and ``text`` of ``docs`` (further columns are ignored). Returns two tables:
-    one row per input row with (doc_id, t1, t2, n, component_id), where (t1, t2) is a 128-bit
-    key of the text, and the confirmed links between classes (a, b). A text without words, or
-    null, has an empty set and its own ``doc_id`` as component. Copies and repeated rows are
-    one class. A component's id is the least ``doc_id`` that is not null, null if there is none.
+    one row per input row with (doc_id, t1, t2, n, component_id, root), where (t1, t2) is a
+    128-bit key of the text, and the confirmed links between classes (a, b). A text without
+    words, or null, has an empty set, its own ``doc_id`` as component and no root. Copies and
+    repeated rows are one class. A component's id is the least ``doc_id`` that is not null, null
+    if there is none; ids may repeat, so only ``root``, the least class, tells components apart.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "near-dedup")
@@ -175,9 +176,9 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     named = classes.select("c", "doc_id").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = work.write(named.join(least, "root").select("c", "component_id"), "component")
-    empty = rows.where("c is null").select("doc_id", "t1", "t2", "n", F.col("doc_id").alias("component_id"))
-    full = rows.where("c is not null").select("doc_id", "t1", "t2", "n", "c").join(component, "c").select("doc_id", "t1", "t2", "n", "component_id")
+    component = work.write(named.join(least, "root").select("c", "component_id", "root"), "component")
+    empty = rows.where("c is null").select("doc_id", "t1", "t2", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"))
+    full = rows.where("c is not null").select("doc_id", "t1", "t2", "n", "c").join(component, "c").select("doc_id", "t1", "t2", "n", "component_id", "root")
     return full.union(empty), links
 
 
@@ -190,12 +191,12 @@ def op7(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates of a document that stays.
 
-    Of each component the row with the least ``doc_id`` stays, of repeated such rows one;
-    documents without words all stay.
+    Of each component the row with the least ``doc_id`` that is not null stays, of repeated such
+    rows one; documents without words all stay.
     """
     found, _ = near_duplicates(docs)
-    stay = found.where("n > 0").groupBy("component_id").agg(F.min_by(F.struct("t1", "t2"), F.struct("doc_id", "t1", "t2")).alias("k"))
-    stay = stay.select(F.col("component_id").alias("__id"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2"))
+    stay = found.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("k"))
+    stay = stay.select(F.col("k.doc_id").alias("__id"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2"))
     blank = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
     marked = docs.withColumn("__blank", blank)
     joined = marked.where("not __blank").alias("d").join(stay.alias("s"), (F.col("d.doc_id").eqNullSafe(F.col("s.__id"))) & (F.xxhash64("d.text") == F.col("s.__t1")) & (F.xxhash64(F.lit(17), F.col("d.text")) == F.col("s.__t2")), "left_semi")

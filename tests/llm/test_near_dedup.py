@@ -88,3 +88,13 @@ def test_family_of_near_copies(spark):
 def test_very_long_text(spark):
     long = " ".join(f"a{k % 70000}" for k in range(600_000))
     check(spark, [(1, long), (2, long + " tail"), (3, "short text of no more than a few words")])
+
+
+def test_components_whose_ids_are_null_or_repeat(spark):
+    near = [f"w{k}" for k in range(100)]
+    rows = [(1, None), (None, ""), (6, "one two three four five"), (6, "one two three four five"), (None, "one two three four five"), (None, "quite another text of words"), (None, "quite another text of words")]
+    rows += [(8, "this has the id of the next"), (8, "and that is not like it"), (None, " ".join(near)), (9, " ".join(near + ["tail"])), (None, "a third text without an id")]
+    docs = check(spark, rows)
+    kept = sorted((tuple(r)[:2] for r in keep_one_of_each(docs).collect()), key=str)
+    want = [rows[0], rows[1], rows[2], rows[5], rows[7], rows[8], rows[10], rows[11]]
+    assert kept == sorted(want, key=str)
