@@ -16,6 +16,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|data-label|hidden|aria-hidden)\b(?:\s
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 #: Whatever stands in them is never main text.
 _SKIPPED = {"head", "template", "noscript", "svg", "math", "select", "button", "object", "audio", "video", "canvas", "datalist", "map", "dialog"} | _RAW
+#: What may stand in an open head; anything else closes it.
+_HEAD = {"head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template", "html"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS = set(
     "html body article aside section nav header footer main form fieldset div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
@@ -97,6 +99,8 @@ def read(html: str) -> Page:
     while at < size:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else size]
+        if stack[-1][0] == "head" and text.strip(" \t\n\f\r"):
+            pop()
         if text and not skipping:
             parts.append((unescape(text) if "&" in text else text, links > 0))
         if not m:
@@ -123,6 +127,8 @@ def read(html: str) -> Page:
         if not name:
             continue
         name, raw = name.lower(), (m[3] if m[2] else m[5]) or ""
+        if stack[-1][0] == "head" and name not in _HEAD:
+            pop()
         if name in _VOID:
             if not skipping:
                 if name == "br":
@@ -147,14 +153,12 @@ def read(html: str) -> Page:
         if name in _IMPLIED:
             close(*_IMPLIED[name])
         if name in _BLOCKS and not skipping:
-            if any(n == "head" for n, _ in stack[:3]):
-                close({"head"}, set())
             flush()
             named, label = _attributes(raw) if raw else ("", None)
             page.tag.append(name)
             page.named.append(named)
             page.parent.append(stack[-1][1])
-            page.label.append(None if label is None else int(label))
+            page.label.append(int(label) if label in ("0", "1") else None)  # pages may use the attribute otherwise
             stack.append((name, len(page.tag) - 1))
         elif not raw.endswith("/"):
             skipping += name in _SKIPPED

@@ -83,3 +83,18 @@ def test_edges(spark):
     got = op9(pages).collect()
     assert len(got) == 6 and got[0]["text"] == "" and got[0]["n_chars"] == 0
     assert op9(pages.limit(0)).count() == 0
+
+
+def test_labels_of_other_pages():
+    page = read('<table><tr><td data-label="Price">1</td><td data-label="">2</td><td data-label>3</td><td data-label="²">4</td><td data-label="0">5</td></tr></table>')
+    assert page.label == [None, None, None, None, None, None, None, 0]
+    assert [t for _, t, _ in page.texts] == ["1", "2", "3", "4", "5"]
+
+
+def test_heads_that_are_left_open():
+    for tag in ("<article>", "<span>", "<img src=a>", "<!-- x -->text ", "<svg></svg>"):
+        page = read(f"<html><head><title>No</title><meta charset=utf-8><style>p{{}}</style>\n{tag}<p>Some text of the page.</p>")
+        assert page.texts[-1][1] == "Some text of the page."
+    assert [t for _, t, _ in read("<head><template><p>no</p></template><noscript><p>no</p></noscript><title>No</title></head><p>yes").texts] == ["yes"]
+    open_head = PAGE.replace("</head>", "").replace("<body>", "")
+    assert extract(default_model(), [open_head]) == extract(default_model(), [PAGE]) != [""]
