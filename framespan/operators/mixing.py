@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from framespan.functions.columns import clip_position, ease, sample_keyframes, whole_div
@@ -103,17 +105,37 @@ def micro_fade(samples: DataFrame, clips: DataFrame, fade: int) -> DataFrame:
     return joined.select("src", "ord", "local", (F.col("v") * gain).alias("v"))
 
 
-def duck(samples: DataFrame, keys: DataFrame, threshold: float, amount: float, attack: float, release: float) -> DataFrame:
-    """Samples (src, idx, v) made quieter while the key (src, idx, v) of higher layers is loud.
+def gains(rows: DataFrame, keys: tuple[str, ...], threshold: float, floor: float, attack: float, release: float) -> DataFrame:
+    """The ``envelope`` of key levels (*keys, idx, k, ...) as a column ``gain`` instead of ``k``.
 
-    The envelope is a fold over the samples of a source, so those must fit one row; long ones
-    are given clip by clip.
+    A value depends on the one before it, so a source is gone through in order; what is carried
+    from batch to batch is one number, so a source of any length needs the memory of a batch.
     """
+    kept = [c for c in rows.columns if c != "k"]
+    ordered = rows.select(*kept, F.col("k").cast("double").alias("k")).repartition(*keys).sortWithinPartitions(*keys, "idx")
+    schema = T.StructType([*(ordered.schema[c] for c in kept), T.StructField("gain", T.DoubleType())])
+
+    def run(batches):
+        own, gain = None, 1.0
+        for batch in batches:
+            names = [batch.column(c).to_pylist() for c in keys]
+            out = []
+            for key, k in zip(zip(*names), batch.column("k").to_pylist()):
+                if key != own:
+                    own, gain = key, 1.0
+                target = floor if k is not None and k > threshold else 1.0
+                gain = target + (gain - target) * (attack if target < gain else release)
+                out.append(gain)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.float64())], names=[*kept, "gain"])
+
+    return ordered.mapInArrow(run, schema)
+
+
+def duck(samples: DataFrame, keys: DataFrame, threshold: float, amount: float, attack: float, release: float) -> DataFrame:
+    """Samples (src, idx, v) made quieter while the key (src, idx, v) of higher layers is loud."""
     key = keys.groupBy("src", "idx").agg(F.sum("v").alias("k"))
-    both = samples.join(key, ["src", "idx"], "left").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("idx", "v", F.coalesce("k", F.lit(0.0)).alias("k")))).alias("s"))
-    gains = envelope(F.transform("s", lambda x: F.abs(x["k"])), threshold, max(0.0, 1 - amount), attack, release)
-    out = both.select("src", F.explode(F.zip_with("s", gains, lambda x, g: F.struct(x["idx"].alias("idx"), (x["v"] * g).alias("v")))).alias("o"))
-    return out.select("src", "o.idx", "o.v")
+    both = samples.select("src", "idx", "v").join(key, ["src", "idx"], "left").withColumn("k", F.abs(F.coalesce("k", F.lit(0.0))))
+    return gains(both, ("src",), threshold, max(0.0, 1 - amount), attack, release).select("src", "idx", (F.col("v") * F.col("gain")).alias("v"))
 
 
 def mix_samples(samples: DataFrame) -> DataFrame:

@@ -19,24 +19,25 @@ def picture_groups(keyframes: DataFrame, ends: DataFrame) -> DataFrame:
     return nexts.join(ends, "src").select("src", "frame", F.coalesce("next", "source_end").alias("group_end"), F.col("next").isNull().alias("final"), "source_end")
 
 
-def render_plan(clips: DataFrame, keyframes: DataFrame, ends: DataFrame) -> DataFrame:
-    """Spans (src, n, kind, src_start, src_end, out_start): whole groups inside a clip are copied, the rest is encoded.
+def render_plan(clips: DataFrame, groups: DataFrame) -> DataFrame:
+    """Spans (src, n, kind, src_start, src_end, out_start): whole ``picture_groups`` inside a clip are copied, the rest is encoded.
 
     Spans that continue each other, in source and output, are one. A clip that wants more
-    than the source has may not copy the last group.
+    than the source has may not copy the last group. Clips and groups meet once; the spans of
+    a clip follow from one window over what it copies and a mark at its end.
     """
     c = clips.select("src", "ord", "start", "offset", (F.col("offset") + F.col("dur")).alias("stop"))
     blocks = c.where("stop > offset").withColumn("block", F.explode(F.sequence(whole_div(F.col("offset"), BLOCK), whole_div(F.col("stop") - 1, BLOCK))))
-    groups = picture_groups(keyframes, ends).withColumn("block", whole_div(F.col("frame"), BLOCK))
-    inside = blocks.join(groups, ["src", "block"]).where("frame >= offset and group_end <= stop and group_end > frame and not (final and stop > source_end)")
-    copies = inside.select("src", "ord", "start", "offset", "stop", F.col("frame").alias("a"), F.col("group_end").alias("b"))
-    w = Window.partitionBy("src", "ord").orderBy("a")
-    gaps = copies.select("src", "ord", "start", "offset", F.coalesce(F.lag("b").over(w), F.col("offset")).alias("x"), F.col("a").alias("y"))
-    reach = copies.groupBy("src", "ord").agg(F.max("b").alias("reach"))
-    tails = c.join(reach, ["src", "ord"], "left").select("src", "ord", "start", "offset", F.coalesce("reach", "offset").alias("x"), F.col("stop").alias("y"))
-    encodes = gaps.union(tails).where("y > x")
-    spans = copies.select("src", "ord", F.lit("copy").alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), (F.col("start") + F.col("a") - F.col("offset")).alias("o"))
-    spans = spans.union(encodes.select("src", "ord", F.lit("encode").alias("kind"), "x", "y", (F.col("start") + F.col("x") - F.col("offset")).alias("o")))
+    met = blocks.join(groups.withColumn("block", whole_div(F.col("frame"), BLOCK)), ["src", "block"])
+    inside = met.where("frame >= offset and group_end <= stop and group_end > frame and not (final and stop > source_end)")
+    ends = c.select("src", "ord", "start", "offset", F.col("stop").alias("a"), F.lit(None).cast("long").alias("b"))
+    rows = inside.select("src", "ord", "start", "offset", F.col("frame").alias("a"), F.col("group_end").alias("b")).union(ends)
+    w = Window.partitionBy("src").orderBy("ord", F.col("b").isNull(), "a")
+    reach = F.when(F.lag("ord").over(w) == F.col("ord"), F.lag("b").over(w))
+    rows = rows.withColumn("x", F.coalesce(reach, F.col("offset")))
+    span = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("x"), high.alias("y"), (F.col("start") + low - F.col("offset")).alias("o"))
+    each = F.filter(F.array(span("encode", F.col("x"), F.col("a")), span("copy", F.col("a"), F.col("b"))), lambda s: s["y"] > s["x"])
+    spans = rows.select("src", "ord", F.inline(each))
     order = Window.partitionBy("src").orderBy("ord", "x")
     goes_on = (F.lag("kind").over(order) == F.col("kind")) & (F.lag("y").over(order) == F.col("x")) & (F.lag(F.col("o") + F.col("y") - F.col("x")).over(order) == F.col("o"))
     marked = spans.withColumn("fresh", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))

@@ -89,7 +89,8 @@ def frames_of(chunks: DataFrame, value: str = "on") -> DataFrame:
 
 def normalized(ranges: DataFrame, lengths: DataFrame) -> DataFrame:
     """Ranges (seq, start, stop, action) on each source: negative ends count from its length, clamped at 0."""
-    both = lengths.join(F.broadcast(ranges))  # one row for each of the flags that a user gave
+    every = ranges.agg(F.collect_list(F.struct("seq", "start", "stop", "action")).alias("r"))  # the flags that a user gave, in one row
+    both = lengths.join(F.broadcast(every)).select("src", "length", F.inline("r"))
     at = lambda c: F.greatest(F.when(F.col(c) < 0, F.col("length") + F.col(c)).otherwise(F.col(c)), F.lit(0))
     return both.select("src", "length", "seq", "action", at("start").alias("start"), F.least(at("stop"), F.col("length")).alias("stop")).where("start < stop")
 

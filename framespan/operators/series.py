@@ -19,24 +19,33 @@ def loudness(samples: DataFrame, rate: int, timebase: Fraction, value: str = "v"
     return peaks.select("src", "frame", u16(F.col("top") / full).alias("u16"))
 
 
-def waveform(samples: DataFrame, bucket: int, value: str = "v", window: tuple[int, int] | None = None) -> DataFrame:
+def waveform(samples: DataFrame, bucket: int, value: str = "v", window: tuple[int, int] | None = None, channel: str | None = None) -> DataFrame:
     """Lowest and highest sample of each bucket of ``bucket`` samples, zero included: (src, bucket_start, lo, hi).
 
-    With ``window`` (from, to) only the samples of buckets that overlap it are read.
+    With ``window`` (from, to) only the samples of buckets that overlap it are read; with
+    ``channel``, the name of a column, every channel has its own peaks, in the same pass.
     """
     start = whole_div(F.col("idx"), bucket) * bucket
-    rows = samples.select("src", start.alias("bucket_start"), F.col(value).alias("v"))
+    keys = ["src", *([channel] if channel else [])]
+    rows = samples.select(*keys, start.alias("bucket_start"), F.col(value).alias("v"))
     if window:
         rows = rows.where((F.col("bucket_start") + bucket > window[0]) & (F.col("bucket_start") < window[1]))
-    return rows.groupBy("src", "bucket_start").agg(F.least(F.min("v"), F.lit(0).cast("double")).alias("lo"), F.greatest(F.max("v"), F.lit(0).cast("double")).alias("hi"))
+    return rows.groupBy(*keys, "bucket_start").agg(F.least(F.min("v"), F.lit(0).cast("double")).alias("lo"), F.greatest(F.max("v"), F.lit(0).cast("double")).alias("hi"))
 
 
-def motion(frames: DataFrame, order: Window | None = None) -> DataFrame:
-    """Share of pixels that differ from those of the frame before, as a u16 level; the first is 0."""
-    order = order or Window.orderBy("idx")
-    before = F.lag("px").over(order)
-    moved = F.size(F.filter(F.zip_with(before, "px", lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
-    return frames.select(*(c for c in frames.columns if c != "px"), u16(F.when(before.isNull(), F.lit(0.0)).otherwise(moved / F.size("px"))).alias("u16"))
+def motion(frames: DataFrame, keys: tuple[str, ...] = (), block: int = 1024) -> DataFrame:
+    """Share of pixels that differ from those of the frame before, as a u16 level; the first (of each of ``keys``) is 0.
+
+    Frames (*keys, idx, px) are compared within blocks of ``idx``; the last frame of a block is
+    handed on to the next block that has any. So only a row for each block is sorted as a whole.
+    """
+    own = frames.withColumn("_block", whole_div(F.col("idx"), block))
+    ends = own.groupBy(*keys, "_block").agg(F.max_by("px", "idx").alias("_last"))
+    handed = ends.select(*keys, F.lead("_block").over(Window.partitionBy(*keys).orderBy("_block")).alias("_block"), "_last").where("_block is not null")
+    before = F.coalesce(F.lag("px").over(Window.partitionBy(*keys, "_block").orderBy("idx")), "_last")
+    compared = own.join(handed, [*keys, "_block"], "left").withColumn("_before", before)
+    moved = F.size(F.filter(F.zip_with("_before", "px", lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
+    return compared.select(*(c for c in frames.columns if c != "px"), u16(F.when(F.col("_before").isNull(), F.lit(0.0)).otherwise(moved / F.size("px"))).alias("u16"))
 
 
 def blackness(frames: DataFrame, pixel_black: float = 0.1) -> DataFrame:

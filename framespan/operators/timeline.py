@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framespan.functions.columns import clip_bounds
+from framespan.functions.columns import clip_bounds, whole_div
 
 #: A speed of a section that is cut.
 CUT_SPEED = 99999.0
@@ -38,19 +38,28 @@ def clips(chunks: DataFrame, actions: DataFrame, value: str = "label") -> DataFr
 
 
 def append(timelines: DataFrame, order: str = "input") -> DataFrame:
-    """Clips of several inputs (input, ord, start, dur, ...) end to end: each begins where those before it end."""
+    """Clips of several inputs (input, ord, start, dur, ...) end to end: each begins where those before it end.
+
+    Of each input one row is sorted; a user names the inputs, so they are few.
+    """
     lengths = timelines.groupBy(order).agg(F.max(F.col("start") + F.col("dur")).alias("length"))
     begins = lengths.select(order, (F.sum("length").over(Window.orderBy(order)) - F.col("length")).alias("begin"))  # a row for each input
     return timelines.join(begins, order).withColumn("start", F.col("start") + F.col("begin")).drop("begin")
 
 
-def dense_effects(rows: DataFrame, group: str, ord_: str, partition: str | None = None) -> DataFrame:
-    """Number the distinct effect groups from 0 by where each first occurs (within ``partition``)."""
-    keys = [partition, group] if partition else [group]
-    first = rows.groupBy(*keys).agg(F.min(ord_).alias("first"))
-    w = Window.partitionBy(partition) if partition else Window.partitionBy()
-    ids = first.select(*keys, (F.row_number().over(w.orderBy("first", group)) - 1).cast("long").alias("effects"))
-    return rows.join(ids, keys)
+def dense_effects(rows: DataFrame, group: str, ord_: str, partition: str | None = None, block: int = 1 << 16) -> DataFrame:
+    """Number the distinct effect groups from 0 by where each first occurs (within ``partition``).
+
+    ``ord_`` is a whole number. Groups are numbered within blocks of it, on from the counts of the
+    blocks before; a sort over all has one row for each block that a group begins in.
+    """
+    keys = [partition] if partition else []
+    first = rows.groupBy(*keys, group).agg(F.min(ord_).alias("first")).withColumn("block", whole_div(F.col("first"), block))
+    counts = first.groupBy(*keys, "block").agg(F.count("*").alias("n"))
+    counts = counts.select(*keys, "block", before("n", *keys, order=("block",)).alias("base"))
+    number = F.row_number().over(Window.partitionBy(*keys, "block").orderBy("first", group)) - 1
+    ids = first.withColumn("number", number).join(counts, [*keys, "block"]).select(*keys, group, (F.col("base") + F.col("number")).cast("long").alias("effects"))
+    return rows.join(ids, [*keys, group])
 
 
 def overlays(base: DataFrame, adds: DataFrame) -> DataFrame:

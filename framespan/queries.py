@@ -126,7 +126,7 @@ def q_waveform_window(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT DISTINCT l_orderkey % 5000 AS k FROM lineitem)
+WITH k AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
 SELECT CAST(k AS BIGINT) AS k, CAST((2 * k * 48000 * 1001 + 30000) // 60000 AS BIGINT) AS first_sample, CAST(k * 48000 * 1001 // 30000 AS BIGINT) AS span_start, CAST((k + 7) * 48000 * 1001 // 30000 AS BIGINT) AS span_end FROM k""")
 def q_bucket_boundary(spark, sf_dir):
     k = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("k")).distinct()
@@ -352,7 +352,7 @@ def q_cue_word_mask(spark, sf_dir):
     return masks.cue_mask(A.conversation_cues(table(spark, sf_dir, "conversations")), masks.word_pattern("the"), True)
 
 
-@query(_CUES + """, clips AS (SELECT src, k * 300 AS "offset", 200 AS dur, k * 200 AS "start" FROM (SELECT DISTINCT src FROM cues), generate_series(0, 3) AS g(k))
+@query(_CUES + """, clips AS (SELECT src, k * 300 AS "offset", 200 AS dur, k * 200 AS "start" FROM (SELECT src, unnest(generate_series(0, CAST((length - 1) // 300 AS BIGINT))) AS k FROM len))
 SELECT c.src, CAST(c."start" + greatest(c."offset", q.s) - c."offset" AS BIGINT) AS "start", CAST(c."start" + least(c."offset" + c.dur, q.s + q.dur) - c."offset" AS BIGINT) AS "end", q.text
 FROM clips c JOIN cues q ON c.src = q.src AND greatest(c."offset", q.s) < least(c."offset" + c.dur, q.s + q.dur)""")
 def q_cue_retime(spark, sf_dir):
@@ -413,7 +413,7 @@ def q_dissolve_lower_video(spark, sf_dir):
 @query(_lower_sql(False))
 def q_dissolve_lower_audio(spark, sf_dir):
     t = _tracks(spark, sf_dir)
-    return transitions.lower(t, transitions.dissolves(t, 12, 1), video=False)
+    return transitions.lower_dissolves(t, 12, 1, video=False)
 
 
 @query(_TRACKS + """,
@@ -456,11 +456,10 @@ def _u16_sql(x: str) -> str:
     return f"CAST(trunc(CAST({x} AS FLOAT) * CAST(65535 AS FLOAT) + CAST(0.5 AS FLOAT)) AS INT)"
 
 
-@query(_PIXELS + f""", g AS (SELECT idx, px, idx // 50 AS grp, lag(px) OVER (PARTITION BY idx // 50 ORDER BY idx) AS was FROM f)
-SELECT grp, idx, CASE WHEN was IS NULL THEN 0 ELSE {_u16_sql("len(list_filter(list_zip(was, px), lambda z: abs(z[1] - z[2]) > 0)) / len(px)")} END AS u16 FROM g""")
+@query(_PIXELS + f""", g AS (SELECT idx, px, lag(px) OVER (ORDER BY idx) AS was FROM f)
+SELECT idx, CASE WHEN was IS NULL THEN 0 ELSE {_u16_sql("len(list_filter(list_zip(was, px), lambda z: abs(z[1] - z[2]) > 0)) / len(px)")} END AS u16 FROM g""")
 def q_motion(spark, sf_dir):
-    frames = A.embedding_frames(table(spark, sf_dir, "embeddings")).withColumn("grp", C.whole_div(F.col("idx"), 50))
-    return series.motion(frames, Window.partitionBy("grp").orderBy("idx")).select("grp", "idx", "u16")
+    return series.motion(A.embedding_frames(table(spark, sf_dir, "embeddings")), block=50).select("idx", "u16")
 
 
 @query(_PIXELS + f" SELECT idx, {_u16_sql('len(list_filter(px, lambda p: p <= 115)) / len(px)')} AS u16 FROM f")
@@ -484,7 +483,8 @@ spans AS (SELECT src, CAST(n AS BIGINT) AS n, any_value(kind) AS kind, CAST(min(
 def _plan(spark, sf_dir):
     keys = A.order_keyframes(table(spark, sf_dir, "lineitem"))
     ends = keys.groupBy("src").agg((F.max("frame") + 5).alias("source_end"))
-    return planner.render_plan(_clips(spark, sf_dir), keys, ends), keys, ends
+    groups = planner.picture_groups(keys, ends)
+    return planner.render_plan(_clips(spark, sf_dir), groups), groups, ends
 
 
 @query(_PLAN + " SELECT src, n, kind, src_start, src_end, out_start FROM spans")
@@ -500,13 +500,13 @@ ln AS (SELECT src, max("start" + dur) AS tl FROM c GROUP BY src)
 SELECT st.src, CAST(copied AS BIGINT) AS copied, CAST(encoded AS BIGINT) AS encoded, encode_runs, CAST(grp AS BIGINT) AS "group", copied > 0 AND tl > 0 AND encoded + source_end // 32 + encode_runs * grp < tl AS worthwhile
 FROM st JOIN mg USING (src) JOIN ln USING (src) JOIN ends USING (src)""")
 def q_smart_worthwhile(spark, sf_dir):
-    spans, keys, ends = _plan(spark, sf_dir)
+    spans, groups, ends = _plan(spark, sf_dir)
     lengths = series.media_length(_clips(spark, sf_dir).select("src", F.col("start").alias("pts"), "dur")).withColumnRenamed("length", "timeline").join(ends, "src")
-    return planner.worthwhile(planner.plan_statistics(spans), lengths, planner.picture_groups(keys, ends))
+    return planner.worthwhile(planner.plan_statistics(spans), lengths, groups)
 
 
 _LAYERS = _CLIPS.rstrip() + """,
-l AS (SELECT src // 10 AS src, CAST(src % 10 AS INT) AS layer, ord, "start" + ord * 2 AS "start", dur, "offset" FROM c WHERE ord <= 3)
+l AS (SELECT src // 10 AS src, CAST(src % 10 AS INT) AS layer, ord, "start" + ord * 2 AS "start", dur, "offset" FROM c)
 """
 
 
@@ -519,7 +519,8 @@ def _layers(spark, sf_dir) -> DataFrame:
 SELECT src, frame, count(*) AS clips, CAST(max(layer) AS INT) AS top, CAST(sum(CAST(round(round((frame - "start" + "offset") * (24.0 / 30)) * 1.5) AS BIGINT)) AS BIGINT) AS source_frames FROM fr GROUP BY src, frame""")
 def q_point_in_interval(spark, sf_dir):
     shown = mixing.source_frame(F.col("frame"), F.col("start"), F.col("offset"), F.lit(1.5), 24.0 / 30)
-    return mixing.active(_layers(spark, sf_dir)).groupBy("src", "frame").agg(F.count("*").alias("clips"), F.max("layer").alias("top"), F.sum(shown).alias("source_frames"))
+    # Clips, not frames, are exchanged: frames of a source are spelled out where its clips are.
+    return mixing.active(_layers(spark, sf_dir).repartition("src")).groupBy("src", "frame").agg(F.count("*").alias("clips"), F.max("layer").alias("top"), F.sum(shown).alias("source_frames"))
 
 
 @query(_LAYERS + """, e AS (SELECT src, "start" AS "at", layer + 1 AS d FROM l UNION ALL SELECT src, "start" + dur, -(layer + 1) FROM l),
@@ -536,7 +537,7 @@ def q_sidechain(spark, sf_dir):
 
 
 @query(_CLIPS.rstrip() + """,
-f AS (SELECT src, ord, dur, unnest(generate_series("start", "start" + dur - 1)) AS frame, "start" FROM c WHERE ord = 2),
+f AS (SELECT src, ord, dur, unnest(generate_series("start", "start" + dur - 1)) AS frame, "start" FROM c),
 p AS (SELECT src, ord, frame, CASE WHEN dur <= 1 THEN 0.0 ELSE least((frame - "start") / (dur - 1), 1.0) END AS t FROM f),
 e AS (SELECT src, ord, frame, 2 * (CASE WHEN t < 0.5 THEN 2 * t * t ELSE 1 - (2 - 2 * t) * (2 - 2 * t) / 2 END) AS x FROM p)
 SELECT src, ord, frame, round(CASE WHEN floor(x) >= 2 THEN 1.0 WHEN floor(x) = 0 THEN 1.0 + (0.5 - 1.0) * x ELSE 0.5 + (1.0 - 0.5) * (x - 1) END, 6) AS value FROM e""")
@@ -599,7 +600,7 @@ def q_sort_dedupe(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).cast("long").alias("frame")).distinct().orderBy("frame")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 255")
+@query("SELECT o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) > 255")
 def q_top_oldest(spark, sf_dir):
     """The orders beyond the newest 255."""
     from framespan.sinks.dumps import keep_newest
@@ -754,7 +755,7 @@ def q_channel_select(spark, sf_dir):
 
 @query(_CLIPS.rstrip() + """, m AS (SELECT *, coalesce(lag("start" + dur) OVER w = "start" AND lag("offset" + dur) OVER w = "offset", false) AS jl FROM c WINDOW w AS (PARTITION BY src ORDER BY "start", ord)),
 m2 AS (SELECT *, coalesce(lead(jl) OVER (PARTITION BY src ORDER BY "start", ord), false) AS jr FROM m),
-f AS (SELECT src, ord, dur, jl, jr, unnest(generate_series(0, dur - 1)) AS local FROM m2 WHERE src % 10 = 1)
+f AS (SELECT src, ord, dur, jl, jr, unnest(generate_series(0, dur - 1)) AS local FROM m2)
 SELECT src, ord, local, round(100 * least(CASE WHEN jl THEN 1 ELSE least((local + 1) / 5, 1) END, CASE WHEN jr THEN 1 ELSE least((dur - local) / 5, 1) END), 6) AS v FROM f""")
 def q_edge_fade(spark, sf_dir):
     own = _clips(spark, sf_dir)
@@ -773,9 +774,7 @@ SELECT src, u, CAST(i AS BIGINT) AS idx, g[i + 2] AS gain FROM e, unnest(generat
 def q_duck_envelope(spark, sf_dir):
     order = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("src"), F.col("user_id").alias("u"), (F.row_number().over(order) - 1).alias("idx"), (F.col("value") / 100).alias("k"))
-    keys = rows.groupBy("src", "u").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "k"))), lambda x: x["k"]).alias("ks"))
-    gains = keys.select("src", "u", F.posexplode(mixing.envelope(F.col("ks"), 0.5, 0.2, 0.5, 0.9)).alias("idx", "gain"))
-    return gains.select("src", "u", F.col("idx").cast("long").alias("idx"), "gain")
+    return mixing.gains(rows.withColumn("idx", F.col("idx").cast("long")), ("src", "u"), 0.5, 0.2, 0.5, 0.9)
 
 
 @query(_LEVELS + """SELECT src, CAST(frame + 1 AS BIGINT) AS line, CAST(u16 AS VARCHAR) AS text FROM levels UNION ALL SELECT src, 0, '@start' FROM spine GROUP BY src UNION ALL SELECT src, CAST(max(frame) + 2 AS BIGINT), '' FROM spine GROUP BY src""")

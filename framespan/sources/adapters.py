@@ -43,10 +43,18 @@ def event_levels(events: DataFrame, **kw) -> DataFrame:
     return dense(event_frames(events, **kw)).select("src", "frame", u16(level).alias("u16"), u16(count).alias("u16_count"))
 
 
-def event_samples(events: DataFrame) -> DataFrame:
-    """Samples (src, idx, v) in order of time within an event type."""
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return events.select(F.col("event_type").alias("src"), (F.row_number().over(order) - 1).cast("long").alias("idx"), F.col("value").alias("v"))
+def event_samples(events: DataFrame, block_us: int = HOUR_US) -> DataFrame:
+    """Samples (src, idx, v) in order of time within an event type.
+
+    Rows are counted by block of time; within a block they are numbered on from the counts of
+    those before it. So types, of which there are few, are not sorted as a whole.
+    """
+    rows = events.select(F.col("event_type").alias("src"), whole_div(micros("ts"), block_us).alias("block"), "ts", "event_id", F.col("value").alias("v"))
+    counts = rows.groupBy("src", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select("src", "block", F.coalesce(before, F.lit(0).cast("long")).alias("first"))
+    within = F.row_number().over(Window.partitionBy("src", "block").orderBy("ts", "event_id"))
+    return rows.withColumn("n", within).join(first, ["src", "block"]).select("src", (F.col("first") + F.col("n") - 1).alias("idx"), "v")
 
 
 def conversation_cues(conversations: DataFrame) -> DataFrame:
