@@ -153,7 +153,7 @@ def timecode(ms: Column, style: str = "standard") -> Column:
 def byte_size(n: Column) -> Column:
     """Bytes in the largest unit of 1024 that they fill."""
     x = n.cast("double")
-    whole = lambda p: F.format_string("%.2f", x / 1024**p)
+    whole = lambda p: F.format_string("%.2f", F.bround(x / 1024**p, 2))  # noqa: E731 (a tie goes to the even digit)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(whole(1), F.lit(" KiB"))).when(n < 1024**3, F.concat(whole(2), F.lit(" MiB"))).otherwise(F.concat(whole(3), F.lit(" GiB")))
 
 

@@ -1,11 +1,10 @@
-"""The registered queries, each with the DuckDB SQL that gives the same rows."""
+"""The registered queries, each with the DuckDB SQL that gives the same rows; more of them in ``queries_more``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,26 +12,9 @@ from framespan.functions import columns as C
 from framespan.functions.values import threshold
 from framespan.operators import masks, mixing, planner, segments, series, timeline, transitions
 from framespan.plans import edit_language as lang
+from framespan.registry import ORACLES, QUERIES, query, table
 from framespan.sources import adapters as A
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 NTSC = Fraction(30000, 1001)
 THRESHOLD = 0.2
 
@@ -832,3 +814,6 @@ def q_nearest_rate(spark, sf_dir):
 
     x = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor("o_totalprice") % 100000).cast("long").alias("want"))
     return x.select("o_orderkey", "want", nearest_rate(F.col("want")).alias("rate"))
+
+
+from framespan import queries_more  # noqa: E402, F401 (registers its queries, which build on those above)

@@ -46,6 +46,28 @@ def gate(windows: Iterator[tuple[int, bool]], state: tuple, silence: int = SILEN
     return out, (start, last, count, index)
 
 
+def gate_table(windows: DataFrame, key: str = "src", **rule) -> DataFrame:
+    """The gate over a table of (key, idx, loud) rows, replayed in order; what is carried from batch to batch is one state.
+
+    A sound that still goes on at the end is not closed, as in a stream.
+    """
+    kind = dict(windows.dtypes)[key]
+
+    def run(batches):
+        own, state = None, (-1, -1, 0, -1)
+        for pdf in batches:
+            rows = []
+            for value, part in pdf.groupby(key, sort=False):
+                if value != own:
+                    own, state = value, (-1, -1, 0, -1)
+                found, state = gate(zip(part["idx"].tolist(), part["loud"].tolist()), state, **rule)
+                rows += [(value, *r) for r in found]
+            yield pd.DataFrame(rows, columns=[key, "start", "end", "count"])
+
+    ordered = windows.select(key, "idx", "loud").repartition(key).sortWithinPartitions(key, "idx")
+    return ordered.mapInPandas(run, f"{key} {kind}, start long, end long, count long")
+
+
 def gate_stream(windows: DataFrame, key: str = "src", **rule) -> DataFrame:
     """The gate over a stream of (key, idx, loud) rows that come in order of idx within a key."""
     kind = dict(windows.dtypes)[key]
