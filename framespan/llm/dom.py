@@ -37,6 +37,7 @@ _IMPLIED = {
     "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
 }
+_PARAGRAPH, _CELLS, _TABLE_PARTS, _NONE = {"p"}, {"table", "td", "th"}, {"table", "tr", "tbody", "thead", "tfoot"}, set()
 
 
 @dataclass
@@ -64,45 +65,105 @@ def _attributes(raw: str) -> tuple[str, str | None]:
     return " ".join(names), label
 
 
-def read(html: str) -> Page:
+#: Elements nested deeper than this become children of the last one that is not, as in browsers.
+MAX_DEPTH = 512
+
+
+class _Open:
+    """The open elements. The last open one of any name is known without a search, so a page takes time in proportion to its length."""
+
+    def __init__(self, ended):
+        self._ended = ended
+        self.names, self.blocks = ["html"], [0]  # an inline element that was closed within others leaves an empty name
+        self._places: dict[str, list[int]] = {"html": [0]}
+        self._block_places = [0]
+        self.skipping = self.links = 0
+
+    @property
+    def top(self) -> str:
+        return self.names[-1]
+
+    @property
+    def block(self) -> int:
+        return self.blocks[-1]
+
+    def push(self, name: str, block: int) -> None:
+        self._places.setdefault(name, []).append(len(self.names))
+        if name in _BLOCKS:
+            self._block_places.append(len(self.names))
+        self.names.append(name)
+        self.blocks.append(block)
+        self.skipping += name in _SKIPPED
+        self.links += name == "a"
+
+    def _forget(self, name: str) -> None:
+        self._places[name].pop()
+        self.skipping -= name in _SKIPPED
+        self.links -= name == "a"
+
+    def pop(self) -> None:
+        """End the innermost element."""
+        name = self.names[-1]
+        if name in _BLOCKS:
+            self._ended()
+            self._block_places.pop()
+        self._forget(name)
+        self._cut()
+        while not self.names[-1]:
+            self._cut()
+
+    def _cut(self) -> None:
+        self.names.pop()
+        self.blocks.pop()
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of one of ``names`` (never that of the root); -1 if there is none."""
+        return max((k[-1] for n in names if (k := self._places.get(n)) and k[-1]), default=-1)
+
+    def pop_to(self, place: int) -> None:
+        while len(self.names) > max(place, 1):
+            self.pop()
+
+    def close(self, names, scope) -> None:
+        """End the innermost element of one of ``names`` and all in it, unless one of ``scope`` stands between."""
+        place = self.last(names)
+        if place > 0 and place > self.last(scope - names if names & scope else scope):
+            self.pop_to(place)
+
+    def close_inline(self, name: str) -> None:
+        """End an inline element within its block; those in it stay open."""
+        place = self.last((name,))
+        if place <= self._block_places[-1]:
+            return
+        if place == len(self.names) - 1:
+            self.pop()
+        else:
+            self._forget(name)
+            self.names[place] = ""
+
+
+def read(html: str, labels: bool = False) -> Page:
+    """The blocks and texts of a page. With ``labels``, ``data-label`` attributes of 0 and 1 are read; otherwise they are like any other."""
     page = Page()
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements, with the block element each stands in
     parts: list[tuple[str, bool]] = []
-    skipping = links = 0
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
-                page.texts.append((stack[-1][1], text, sum(len(p.strip()) for p, link in parts if link)))
+                page.texts.append((open_.block, text, sum(len(p.strip()) for p, link in parts if link)))
             parts.clear()
 
-    def pop() -> None:
-        nonlocal skipping, links
-        name = stack[-1][0]
-        if name in _BLOCKS:
-            flush()
-        stack.pop()
-        skipping -= name in _SKIPPED
-        links -= name == "a"
-
-    def close(names: set[str], scope: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                while len(stack) > k:
-                    pop()
-                return
-            if stack[k][0] in scope:
-                return
-
+    open_ = _Open(flush)
+    level = [0]
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else size]
-        if stack[-1][0] == "head" and text.strip(" \t\n\f\r"):
-            pop()
-        if text and not skipping:
-            parts.append((unescape(text) if "&" in text else text, links > 0))
+        if open_.top == "head" and text.strip(" \t\n\f\r"):
+            open_.pop()
+        if text and not open_.skipping:
+            parts.append((unescape(text) if "&" in text else text, open_.links > 0))
         if not m:
             break
         at = m.end()
@@ -110,31 +171,23 @@ def read(html: str) -> Page:
             name = m[1].lower()
             if name in ("html", "body"):
                 flush()
-            elif any(n == name for n, _ in stack):
-                if name in _BLOCKS or name in _SKIPPED:
-                    close({name}, {"table", "td", "th"} - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else set())
-                else:
-                    for k in range(len(stack) - 1, 0, -1):  # an inline element ends within its block only
-                        if stack[k][0] == name:
-                            skipping -= name in _SKIPPED
-                            links -= name == "a"
-                            del stack[k]
-                            break
-                        if stack[k][0] in _BLOCKS:
-                            break
+            elif name in _BLOCKS or name in _SKIPPED:
+                open_.close({name}, _CELLS - {name} if name not in _TABLE_PARTS else _NONE)
+            else:
+                open_.close_inline(name)
             continue
         name = m[2] or m[4]
         if not name:
             continue
         name, raw = name.lower(), (m[3] if m[2] else m[5]) or ""
-        if stack[-1][0] == "head" and name not in _HEAD:
-            pop()
+        if open_.top == "head" and name not in _HEAD:
+            open_.pop()
         if name in _VOID:
-            if not skipping:
+            if not open_.skipping:
                 if name == "br":
                     parts.append((" ", False))
                 elif name == "hr":
-                    close({"p"}, _SCOPE)
+                    open_.close(_PARAGRAPH, _SCOPE)
                     flush()
             continue
         if name in _RAW:
@@ -144,30 +197,28 @@ def read(html: str) -> Page:
         if name == "html":
             continue
         if name == "body":
-            while len(stack) > 1 and stack[-1][0] != "body":
-                pop()
-        elif name in _P_ENDERS and not skipping:
+            place = open_.last(("body",))
+            open_.pop_to(place + 1 if place > 0 else 1)
+        elif name in _P_ENDERS and not open_.skipping:
             if name in _HEADINGS:
-                close(_HEADINGS, _SCOPE | _BLOCKS)
-            close({"p"}, _SCOPE)
+                open_.close(_HEADINGS, _SCOPE | _BLOCKS)
+            open_.close(_PARAGRAPH, _SCOPE)
         if name in _IMPLIED:
-            close(*_IMPLIED[name])
-        if name in _BLOCKS and not skipping:
+            open_.close(*_IMPLIED[name])
+        if name in _BLOCKS and not open_.skipping:
             flush()
             named, label = _attributes(raw) if raw else ("", None)
+            parent = open_.block
+            if level[parent] >= MAX_DEPTH:
+                parent = page.parent[parent]
+            level.append(level[parent] + 1)
             page.tag.append(name)
             page.named.append(named)
-            page.parent.append(stack[-1][1])
-            page.label.append(int(label) if label in ("0", "1") else None)  # pages may use the attribute otherwise
-            stack.append((name, len(page.tag) - 1))
+            page.parent.append(parent)
+            page.label.append(int(label) if labels and label in ("0", "1") else None)
+            open_.push(name, len(page.tag) - 1)
         elif not raw.endswith("/"):
-            skipping += name in _SKIPPED
-            if name in _SKIPPED:
-                stack.append((name, stack[-1][1]))
-            else:
-                links += name == "a"
-                stack.append((name, stack[-1][1]))
-    while len(stack) > 1:
-        pop()
+            open_.push(name, open_.block)
+    open_.pop_to(1)
     flush()
     return page

@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 
 from framespan.llm.dom import Page, read
 from framespan.llm.shingles import groups
-from framespan.llm.storage import small_batches
 from framespan.llm.worker import parts
 
 _TAGS = {t: k for k, names in enumerate((
@@ -305,7 +304,7 @@ _models: dict[tuple[int, int], TreeModel] = {}
 
 def default_model(n: int = 300, seed: int = 1) -> TreeModel:
     if (n, seed) not in _models:
-        _models[n, seed] = fit([read(h) for h in labelled_pages(n, seed)])
+        _models[n, seed] = fit([read(h, labels=True) for h in labelled_pages(n, seed)])
     return _models[n, seed]
 
 
@@ -336,8 +335,8 @@ def extractor(model: TreeModel):
 def op9(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Null and empty pages have an empty text; repeated rows give equal texts.
+    Null and empty pages have an empty text; repeated rows give equal texts. Further columns,
+    whatever their names, are ignored; no rows give none.
     """
-    small_batches(pages.sparkSession)
     found = pages.select("page_id", "url", extractor(default_model())(F.coalesce(F.col("html").cast("string"), F.lit(""))).alias("text"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

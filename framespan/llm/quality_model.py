@@ -7,12 +7,13 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framespan.llm.boosting import Trees, fit
-from framespan.llm.storage import small_batches
+from framespan.llm.storage import all_of, unused
 from framespan.llm.worker import parts, release
 
 #: Labelled documents that the trees are fitted on, at most.
@@ -36,23 +37,63 @@ def _pieces(text: bytes):
         at = end
 
 
+class _Lines:
+    """Numbers of lines that are not empty, and of those equal to an earlier one, of a text that comes in pieces."""
+
+    def __init__(self):
+        self.n = self.repeated = 0
+        self._seen: set[bytes] = set()
+        self._open, self._size = xxhash.xxh3_128(), 0
+
+    def _end(self) -> None:
+        if self._size:
+            key = self._open.digest()
+            self.n, self.repeated = self.n + 1, self.repeated + (key in self._seen)
+            self._seen.add(key)
+            self._open, self._size = xxhash.xxh3_128(), 0
+
+    def add(self, piece: bytes) -> None:
+        first, *others = piece.split(b"\n")
+        self._open.update(first)
+        self._size += len(first)
+        for line in others:
+            self._end()
+            self._open.update(line)
+            self._size = len(line)
+
+    def ends(self) -> tuple[int, int]:
+        self._end()
+        return self.n, self.repeated
+
+
 def statistics(text: bytes) -> list[float]:
-    """The ``FEATURES`` of a text; shares of distinct words and lines are means over pieces of 1 MB. An empty text has zeros."""
+    """The ``FEATURES`` of a whole text. An empty text has zeros.
+
+    A text over 1 MB is gone through in pieces that end at white space; what spans pieces
+    (distinct words, the word before, lines) is carried on, so the numbers are those of the whole.
+    """
     if not text:
         return [0.0] * len(FEATURES)
-    bytes_of = np.zeros(256, np.int64)
-    n_words = n_same = n_lines = longest = 0
-    distinct = repeated = 0.0
-    for piece in [text] if len(text) <= _PIECE else _pieces(text):
-        bytes_of += np.bincount(np.frombuffer(piece, np.uint8), minlength=256)
-        words = piece.split()
-        lines = [x for x in piece.split(b"\n") if x]
-        n_words += len(words)
-        distinct += len(set(words))
-        n_same += sum(map(eq, words, words[1:]))
-        longest = max(longest, max(map(len, words), default=0))
-        n_lines += len(lines)
-        repeated += len(lines) - len(set(lines))
+    if len(text) <= _PIECE:
+        bytes_of = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+        words = text.split()
+        lines = [x for x in text.split(b"\n") if x]
+        n_words, distinct, n_same, longest = len(words), len(set(words)), sum(map(eq, words, words[1:])), max(map(len, words), default=0)
+        n_lines, repeated = len(lines), len(lines) - len(set(lines))
+    else:
+        bytes_of, seen, before, rows = np.zeros(256, np.int64), set(), None, _Lines()
+        n_words = n_same = longest = 0
+        for piece in _pieces(text):
+            bytes_of += np.bincount(np.frombuffer(piece, np.uint8), minlength=256)
+            rows.add(piece)
+            words = piece.split()
+            if words:
+                n_words += len(words)
+                n_same += sum(map(eq, words, words[1:])) + (words[0] == before)
+                longest = max(longest, max(map(len, words)))
+                before = words[-1]
+                seen.update(words)
+        distinct, (n_lines, repeated) = len(seen), rows.ends()
     n, w = len(text), max(n_words, 1)
     shares = bytes_of[bytes_of > 0] / n
     return [
@@ -76,7 +117,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, allowed, most
 
 def train(docs: DataFrame, labels: DataFrame) -> Trees:
     """Fit on at most ``MAX_TRAINING_ROWS`` labelled documents, none of them held out."""
-    small_batches(docs.sparkSession)
     allowed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     rows = training_rows(docs, labels, "quality", allowed, MAX_TRAINING_ROWS).select("doc_id", "label", _statistics("text").alias("x"))
     found = rows.orderBy(F.xxhash64("doc_id", "x"), "label").limit(MAX_TRAINING_ROWS).select("label", "x").collect()
@@ -98,7 +138,8 @@ def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Null texts are scored as empty ones, repeated rows alike; without labels of both kinds
-    every score is the same. held_out of a null doc_id is null.
+    every score is the same. held_out of a null doc_id is null. Further columns, whatever
+    their names, are ignored; no rows give none.
     """
     score = scorer(train(docs, labels))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -107,6 +148,7 @@ def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are predicted to be good."""
-    score = scorer(train(docs, labels))
-    return docs.withColumn("__score", score(F.col("text").cast("string"))).where(F.col("__score") >= CUT).drop("__score")
+    """The rows of ``docs`` that are predicted to be good, with all columns, whatever their names, as they are."""
+    score, (name,) = scorer(train(docs, labels)), unused(docs.columns, "score")
+    scored = docs.withColumn(name, score(F.col("text").cast("string"))).where(F.col(name) >= CUT)
+    return scored.select(*all_of(scored, docs.columns))

@@ -108,8 +108,8 @@ def suffix_statistics(labelled: DataFrame) -> dict[int, tuple[float, float]]:
 
 
 def train(labelled: DataFrame, suffixes: dict[int, tuple[float, float]]) -> Trees:
-    """Fit on URLs (url, host, path, bucket) with a label, block or allow; at most ``MAX_TRAINING_ROWS``, chosen by hash."""
-    known = labelled.where("label is not null").orderBy(F.xxhash64("url"), "url").limit(MAX_TRAINING_ROWS)
+    """Fit on distinct URLs (url, host, path, bucket) with a label, block or allow; at most ``MAX_TRAINING_ROWS``, chosen by hash."""
+    known = labelled.where("label is not null").dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(MAX_TRAINING_ROWS)
     rows = known.select((F.col("label") == "block").cast("int").alias("y"), _lexical_udf(suffixes, None)(*_INPUTS).alias("x")).collect()
     x = np.array([r["x"] for r in rows], np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["y"] for r in rows], np.float64), depth=3, trees=40)
@@ -119,7 +119,9 @@ def op3(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (null where a rule decides).
 
     The URLs that rules decide are the labelled ones. Null URLs and URLs without ``://``
-    have an empty host and path and are judged by the trees; repeated rows are judged alike.
+    have an empty host and path and are judged by the trees; repeated rows are judged alike,
+    and a URL is learned from once however often it stands there. Further columns, whatever
+    their names, are ignored; no rows give none.
     """
     cut = parts_of(pages)
     suffixes = suffix_statistics(cut)

@@ -33,6 +33,19 @@ def test_statistics_of_long_and_empty_texts():
     assert len(statistics(b"\xc3\xa9 " * 2_000_000)) == len(FEATURES) and np.isfinite(statistics(b"x" * 3_000_000)).all()
 
 
+def test_long_texts_are_counted_as_a_whole():
+    """Pieces change nothing: words and lines that return in another piece count as seen, what lies on an edge is whole."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}".encode() for k in range(5000)]
+    ends = [b" ", b"\n", b"\n\n", b"  ", b"\r\n"]
+    text = b"".join(words[i] + ends[j] for i, j in zip(rng.integers(0, 5000, 600_000), rng.choice(5, 600_000, p=[0.8, 0.1, 0.04, 0.03, 0.03])))
+    for own in (text, b"one line " * 400_000, b"x" * 2_500_000, b"ab\n" * 900_000):
+        got, name = dict(zip(FEATURES, statistics(own))), own.split()
+        lines = [x for x in own.split(b"\n") if x]
+        assert got["distinct_words"] == len(set(name)) / len(name) and got["same_as_before"] == sum(a == b for a, b in zip(name, name[1:])) / len(name)
+        assert got["repeated_lines"] == (len(lines) - len(set(lines))) / len(lines) and got["line_words"] == len(name) / len(lines) and got["longest_word"] == max(map(len, name))
+
+
 def test_held_out_documents(spark):
     at = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
