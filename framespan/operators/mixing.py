@@ -66,6 +66,17 @@ def ramp(clips: DataFrame, values: list[float], curve: str = "linear", length: i
     return steps.select("src", "ord", "frame", value.alias("value"))
 
 
+def keyframed_volume(samples: DataFrame, clips: DataFrame, values: list[float], curve: str = "linear", length: int | None = None) -> DataFrame:
+    """16-bit samples (src, ord, local, v) of clips, each times the value of an eased ramp at its place, rounded half away from zero and clamped.
+
+    The ramp takes all samples of a clip (src, ord, dur), or ``length`` of them and then holds.
+    """
+    over = F.lit(length) if length is not None else F.col("dur")
+    share = sample_keyframes(F.array(*(F.lit(float(v)) for v in values)), ease(curve, clip_position(F.col("local"), over)))
+    joined = samples.join(clips.select("src", "ord", "dur"), ["src", "ord"])
+    return joined.select("src", "ord", "local", F.least(F.greatest(F.round(F.col("v") * share), F.lit(-32768)), F.lit(32767)).cast("int").alias("v"))
+
+
 def edge_gain(local: Column, dur: Column, fade: int, joined_left: Column, joined_right: Column) -> Column:
     """Gain of a short fade at the ends of a clip, but not where it continues its neighbour."""
     left = F.when(joined_left, F.lit(1.0)).otherwise(F.least((local + 1) / F.lit(fade), F.lit(1.0)))

@@ -126,6 +126,23 @@ def playlist_parity(planned: DataFrame) -> DataFrame:
     return planned.withColumn("parity", (F.count_if(F.coalesce(F.col("incoming.alignment") == "center", F.lit(False))).over(w) % 2).cast("int"))
 
 
+def merge_order(rows: DataFrame, key: str = "src", at: str = "start", layer: str = "layer") -> DataFrame:
+    """Clips or packets of several layers in one order: the one that begins first comes next, of equals that of the lowest layer."""
+    w = Window.partitionBy(key).orderBy(at, layer, "ord")
+    return rows.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+
+
+def audio_tracks(layers: DataFrame) -> DataFrame:
+    """Tracks of an editor for layers of sound (src, layer, channels): a layer of two or more channels is split into two tracks.
+
+    Rows (src, layer, exploded, track): ``track`` counts the channels of the layers before, from 1.
+    """
+    counted = layers.withColumn("channels", F.greatest(F.coalesce("channels", F.lit(1)), F.lit(1)).cast("long"))
+    counted = counted.withColumn("offset", before("channels", "src", order=("layer",)))
+    parts = F.explode(F.sequence(F.lit(0), F.least(F.col("channels"), F.lit(2)).cast("int") - 1)).alias("exploded")
+    return counted.select("src", "layer", "offset", parts).select("src", "layer", "exploded", (F.col("offset") + F.col("exploded") + 1).alias("track"))
+
+
 def link_ids(rows: DataFrame, order: str = "at") -> DataFrame:
     """One number for clips of the same source and start, counted by where each first occurs in a timeline."""
     first = rows.groupBy("src", "media", "start").agg(F.min(order).alias("first"))

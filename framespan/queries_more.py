@@ -12,8 +12,9 @@ from framespan import queries as Q
 from framespan.functions import columns as C
 from framespan.functions import values as V
 from framespan.operators import kernels as K
-from framespan.operators import masks, mixing, segments, series, timeline
+from framespan.operators import masks, mixing, pictures, segments, series, timeline
 from framespan.plans import actions as P
+from framespan.plans import chain
 from framespan.plans import edit_language as lang
 from framespan.plans import flags as G
 from framespan.registry import query, table
@@ -323,3 +324,168 @@ def q_xmeml_round_trip(spark, sf_dir):
 
     back = xmeml.read_xmeml(editors.documents(_documented(spark, sf_dir), None, "premiere", Fraction(30)))
     return back.select("src", "kind", "layer", "ord", "media", "start", "dur", "offset", F.array_join("effects", ",").alias("effects"))
+
+
+@query(_DOCUMENTED + """ SELECT src, CAST(count(*) * 2 AS INT) AS items, CAST(2 AS INT) AS pairs, CAST(count(DISTINCT media) AS INT) AS files FROM x WHERE kind = 'a' GROUP BY src""")
+def q_stereo_tracks(spark, sf_dir):
+    """Sound of two channels as pairs of tracks in an editor document: items of sound, tracks of a pair, files."""
+    from framespan.sinks import editors
+
+    docs = editors.documents(_documented(spark, sf_dir), None, "premiere", Fraction(30), channels={"/m/a 0.mp4": 2, "/m/a 1.mp4": 2})
+    sound = F.regexp_extract("document", r"(?s)<audio>(.*)</audio>", 1)
+    return docs.select("src", F.regexp_count(sound, F.lit("<clipitem ")).alias("items"), F.regexp_count("document", F.lit("currentExplodedTrackIndex")).alias("pairs"), F.regexp_count("document", F.lit("<pathurl>")).alias("files"))
+
+
+def _sum_of(column, pattern: str):
+    return F.aggregate(F.transform(F.regexp_extract_all(column, F.lit(pattern), 1), lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+@query(_DOCUMENTED + """ SELECT src, CAST(count(*) AS INT) AS clips, CAST(sum(dur) AS BIGINT) AS dur, CAST(sum("offset") AS BIGINT) AS "offset", CAST(count(*) FILTER (speed = 2) AS INT) AS retimed FROM x WHERE kind = 'v' GROUP BY src""")
+def q_fcpxml(spark, sf_dir):
+    """Final Cut documents: clips of the spine, their durations and starts, and those with a time map."""
+    from framespan.sinks import editors
+
+    docs = editors.documents(_documented(spark, sf_dir), None, "final-cut-pro", Fraction(30))
+    spine = F.regexp_extract("document", r"(?s)<spine>(.*)</spine>", 1)
+    one = docs.select("src", spine.alias("s"))
+    return one.select("src", F.regexp_count("s", F.lit("<asset-clip ")).alias("clips"), _sum_of("s", r'<asset-clip [^>]* duration="(\d+)(?:/30)?s"').alias("dur"), _sum_of("s", r'<asset-clip [^>]* start="(\d+)(?:/30)?s"').alias("offset"), F.regexp_count("s", F.lit("<timeMap>")).alias("retimed"))
+
+
+def _mlt(spark, sf_dir, kind: str) -> DataFrame:
+    from framespan.sinks import editors
+
+    docs = editors.documents(_documented(spark, sf_dir), None, kind, Fraction(25))
+    ms = lambda side: F.aggregate(
+        F.transform(F.regexp_extract_all("document", F.lit(rf'<entry [^>]*{side}="([\d:.]+)"'), 1), lambda t: F.substring(t, 1, 2).cast("long") * 3600000 + F.substring(t, 4, 2).cast("long") * 60000 + F.substring(t, 7, 2).cast("long") * 1000 + F.substring(t, 10, 3).cast("long")),
+        F.lit(0).cast("long"), lambda a, v: a + v,
+    )
+    return docs.select("src", F.regexp_count("document", F.lit("<entry ")).alias("entries"), ms("in").alias("in_ms"), ms("out").alias("out_ms"))
+
+
+_ENTRIES = _DOCUMENTED + """ SELECT src, CAST(count(*) AS INT) AS entries, CAST(sum("offset" * 40) AS BIGINT) AS in_ms, CAST(sum(("offset" + dur - 1) * 40) AS BIGINT) AS out_ms FROM x GROUP BY src"""
+
+
+@query(_ENTRIES)
+def q_shotcut(spark, sf_dir):
+    """MLT documents of the first flavour: entries of their playlists, from and to which time."""
+    return _mlt(spark, sf_dir, "shotcut")
+
+
+@query(_ENTRIES)
+def q_kdenlive(spark, sf_dir):
+    """MLT documents of the second flavour."""
+    return _mlt(spark, sf_dir, "kdenlive")
+
+
+@query(_DOCUMENTED + """ SELECT src, CAST(count(*) AS INT) AS clips, CAST(sum(dur) AS BIGINT) AS dur, CAST(count(*) FILTER (speed = 2) AS INT) AS retimed FROM x WHERE kind = 'v' GROUP BY src""")
+def q_otio(spark, sf_dir):
+    """OpenTimelineIO documents: clips of the first track with their durations."""
+    from framespan.sinks import editors
+
+    docs = editors.documents(_documented(spark, sf_dir), None, "otio", Fraction(30))
+    shape = "struct<tracks:struct<children:array<struct<children:array<struct<OTIO_SCHEMA:string,source_range:struct<duration:struct<value:double>>,effects:array<struct<OTIO_SCHEMA:string>>>>>>>>"
+    track = F.from_json("document", shape)["tracks"]["children"][0]["children"]
+    clips = docs.select("src", F.filter(track, lambda c: c["OTIO_SCHEMA"] == "Clip.2").alias("c"))
+    dur = F.aggregate("c", F.lit(0).cast("long"), lambda a, c: a + c["source_range"]["duration"]["value"].cast("long"))
+    return clips.select("src", F.size("c").alias("clips"), dur.alias("dur"), F.size(F.filter("c", lambda c: F.size(c["effects"]) > 0)).alias("retimed"))
+
+
+_PICTURES = Q._PIXELS + """,
+m AS (SELECT idx, list_transform(generate_series(0, 7), lambda y: px[y * 8 + 1:y * 8 + 8]) AS m FROM f),
+p AS (SELECT idx, CAST(y AS INT) AS y, CAST(x AS INT) AS x, m[y + 1][x + 1] AS p FROM m, generate_series(0, 7) AS a(y), generate_series(0, 7) AS b(x)),
+e AS (SELECT a.idx, a.y, a.x, min(b.p) AS v FROM p a JOIN p b ON a.idx = b.idx AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+g AS (SELECT p.idx, p.y, p.x, p.p, q.v AS mosaic, e.v AS eroded FROM p JOIN (SELECT idx, y // 3 AS by, x // 3 AS bx, round(avg(p)) AS v FROM p GROUP BY ALL) q ON q.idx = p.idx AND q.by = p.y // 3 AND q.bx = p.x // 3 JOIN e ON e.idx = p.idx AND e.y = p.y AND e.x = p.x),
+r AS (SELECT g.*, h.p AS mirrored, v.p AS upside, s.p AS smeared, w.p AS wrapped FROM g JOIN p h ON h.idx = g.idx AND h.y = g.y AND h.x = 7 - g.x JOIN p v ON v.idx = g.idx AND v.y = 7 - g.y AND v.x = g.x
+  JOIN p s ON s.idx = g.idx AND s.y = least(greatest(g.y - 1, 0), 7) AND s.x = least(greatest(g.x - 2, 0), 7) JOIN p w ON w.idx = g.idx AND w.y = (g.y + 7) % 8 AND w.x = (g.x + 6) % 8),
+k AS (SELECT *, (y * 8 + x) % 97 + 1 AS k FROM r)"""
+
+
+def _clamped(x: str) -> str:
+    return f"least(greatest(round({x}), 0), 255)"
+
+
+@query(_PICTURES + f"""
+SELECT idx, CAST(sum(k * mirrored) AS BIGINT) AS hflip, CAST(sum(k * upside) AS BIGINT) AS vflip, CAST(sum(k * eroded) AS BIGINT) AS erosion, CAST(sum(k * mosaic) AS BIGINT) AS mosaic, CAST(sum(k * smeared) AS BIGINT) AS smeared, CAST(sum(k * wrapped) AS BIGINT) AS wrapped,
+  CAST(sum(k * CASE WHEN x >= 2 AND x < 5 AND y >= 1 AND y < 7 THEN 200 ELSE p END) AS BIGINT) AS box, CAST(sum(k * {_clamped("p * (idx % 10 / 10) + 16 * (1 - idx % 10 / 10)")}) AS BIGINT) AS opacity,
+  CAST(sum(k * {_clamped("(p - 128) * 1.5 + 128 + 0.1 * 255")}) AS BIGINT) AS luma, CAST(sum(k * {_clamped("(p - 128) * 0.5 + 128")}) AS BIGINT) AS chroma, CAST(sum(k * CASE WHEN abs(p - 120) <= 0.05 * 255 THEN 0 ELSE p END) AS BIGINT) AS keyed FROM k GROUP BY idx""")
+def q_pictures(spark, sf_dir):
+    """Actions on pictures of 8 by 8 pixels."""
+    f = A.embedding_frames(table(spark, sf_dir, "embeddings")).select("idx", pictures.picture(F.col("px"), 8).alias("m"))
+    m = F.col("m")
+    made = {
+        "hflip": pictures.hflip(m), "vflip": pictures.vflip(m), "erosion": pictures.erosion(m), "mosaic": pictures.mosaic(m, 3, 3), "smeared": pictures.shifted(m, 2, 1), "wrapped": pictures.shifted(m, 2, 1, True),
+        "box": pictures.drawbox(m, 2, 1, 3, 6, 200), "opacity": pictures.opacity(m, F.col("idx") % 10 / 10, 16), "luma": pictures.luma(m, 0.1, 1.5), "chroma": pictures.chroma(m, 0.5), "keyed": pictures.key_out(m, 120, 0.05),
+    }
+    return f.select("idx", *(pictures.checksum(v).alias(k) for k, v in made.items()))
+
+
+@query(Q._PIXELS + """,
+a AS (SELECT idx, list_transform(px, lambda p: CAST(round((p - 128) * 300) AS INT)) AS s, px FROM f)
+SELECT idx, list_sum(list_transform(s, lambda v: least(greatest(round(v * 0.7), -32768), 32767)))::BIGINT AS volume, idx % 50 AS looped, list_sum(list_transform(px, lambda p: CASE WHEN abs(p - 128) <= 12.75 THEN 0 ELSE p END))::BIGINT AS keyed,
+  px[1]::INT AS first, round((px[3] * (1 - px[1] / 255) + px[2] * px[1] / 255))::INT AS over FROM a""")
+def q_sound_kernels(spark, sf_dir):
+    """Volume on samples, looping, keys and overlays on lines."""
+    px = F.col("px")
+    f = A.embedding_frames(table(spark, sf_dir, "embeddings"))
+    samples = F.transform(px, lambda p: ((p - 128) * 300).cast("int"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    over = K.overlay(px, F.slice(px, 2, 1), F.slice(px, 1, 1), 2)
+    return f.select("idx", total(K.volume(samples, 0.7)).alias("volume"), K.loop_index(F.col("idx"), F.lit(50)).alias("looped"), total(K.key_out(px, 128, 0.05)).alias("keyed"), px[0].alias("first"), over[2].alias("over"))
+
+
+@query("""
+WITH n AS (SELECT DISTINCT CAST(l_linenumber AS INT) AS n FROM lineitem), k AS (SELECT n, unnest(generate_series(0, 99)) AS k FROM n),
+t AS (SELECT n, CAST(sum(CAST(round(sin(k * (440 * 2 ** ((n + 60 - 69) / 12.0)) * 2 * pi() / 8000) * 8191) AS BIGINT) * (k + 1)) AS BIGINT) AS tone FROM k GROUP BY n),
+m AS (SELECT n, CAST(sum(CASE WHEN x >= 2 AND x < 2 + n AND y >= 1 AND y < 4 THEN 255 ELSE 0 END) AS BIGINT) AS matte FROM n, generate_series(0, 15) AS a(x), generate_series(0, 8) AS b(y) GROUP BY n)
+SELECT n, tone, matte FROM t JOIN m USING (n)""")
+def q_generators(spark, sf_dir):
+    """Tones and mattes."""
+    n = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("n")).distinct()
+    tone = K.tone(F.col("n") + 60, F.lit(100), 8000)
+    weighed = F.aggregate(F.transform(tone, lambda v, i: v.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    matte = F.lit(None).cast("long")
+    for w in range(1, 8):  # the shape of a matte is known when the plan is made
+        own = F.aggregate(F.flatten(K.matte(16, 9, 2, 1, w, 3)), F.lit(0).cast("long"), lambda a, v: a + v)
+        matte = F.when(F.col("n") == w, own).otherwise(matte)
+    return n.select("n", weighed.alias("tone"), matte.alias("matte"))
+
+
+@query(Q._CLIPS.rstrip() + """, s AS (SELECT src, ord, dur, unnest(generate_series(0, dur - 1)) AS local FROM c),
+t AS (SELECT src, ord, local, (local * 7919 + ord * 1009) % 65536 - 32768 AS v, least(local / (20 - 1), 1.0) AS t FROM s),
+e AS (SELECT src, ord, local, v, 2 * (t * t) AS x FROM t)
+SELECT src, ord, local, CAST(least(greatest(round(v * CASE WHEN x >= 2 THEN 3.0 WHEN x < 1 THEN 0.0 + 0.5 * x ELSE 0.5 + 2.5 * (x - 1) END), -32768), 32767) AS INT) AS v FROM e""")
+def q_keyframed_volume(spark, sf_dir):
+    """A volume of 0..0.5..3 that eases in over 20 samples and then holds, on samples of all clips."""
+    c = Q._clips(spark, sf_dir)
+    samples = c.select("src", "ord", F.explode(F.sequence(F.lit(0).cast("long"), F.col("dur") - 1)).alias("local"))
+    samples = samples.withColumn("v", (F.col("local") * 7919 + F.col("ord") * 1009) % 65536 - 32768)
+    return mixing.keyframed_volume(samples, c, [0.0, 0.5, 3.0], "in", 20)
+
+
+@query(Q._LAYERS + """SELECT src, layer, ord, "start", row_number() OVER (PARTITION BY src ORDER BY "start", layer, ord) - 1 AS place FROM l""")
+def q_merge_order(spark, sf_dir):
+    return timeline.merge_order(Q._layers(spark, sf_dir)).select("src", "layer", "ord", "start", "place")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS src, CAST(l_linenumber AS INT) AS layer, max(CAST(l_quantity AS INT) % 4) AS channels FROM lineitem GROUP BY ALL),
+o AS (SELECT src, layer, greatest(channels, 1) AS channels, coalesce(sum(greatest(channels, 1)) OVER (PARTITION BY src ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM l)
+SELECT src, layer, CAST(e AS INT) AS exploded, CAST(below + e + 1 AS BIGINT) AS track FROM o, generate_series(0, 1) AS t(e) WHERE e < channels""")
+def q_audio_tracks(spark, sf_dir):
+    layers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("src"), F.col("l_linenumber").cast("int").alias("layer")).agg(F.max(F.col("l_quantity").cast("int") % 4).alias("channels"))
+    return timeline.audio_tracks(layers)
+
+
+@query("""
+WITH a AS (SELECT DISTINCT CAST(l_linenumber AS INT) AS n FROM lineitem)
+SELECT n, 'filters speed:' || (n + 1) || '|volume volume:0.5|filters pitch:3,varispeed:1.5|volume volume:0.' || n AS stages, 'invert|blur:4 in confine:' || n || ':2:3:4:0:0|hflip in confine:' || n || ':2:3:4:0:0|vflip' AS confined FROM a""")
+def q_action_chains(spark, sf_dir):
+    """The stages of a clip's sound, parted at each volume, and the regions that actions are confined to."""
+    n = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("n")).distinct()
+
+    def read(t: str) -> dict:
+        stages = chain.audio_stages(P.parse_list(f"speed:{int(t) + 1},invert,volume:0.5,pitch:3,varispeed:1.5,volume:0.{t}"))
+        regions = chain.confined(P.parse_list(f"invert,confine:{t}:2:3:4,blur:4,hflip,confine,vflip"))
+        return {"stages": "|".join(f"{name} {','.join(map(str, own))}" for name, own in stages), "confined": "|".join(str(a) + (f" in {r}" if r else "") for a, r in regions)}
+
+    return _by_text(n.withColumn("t", F.col("n").cast("string")), "stages string, confined string", read).select("n", "out.*")
