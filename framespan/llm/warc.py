@@ -20,16 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framespan.llm.storage import Workspace
+from framespan.llm.storage import Workspace, join_sized
 
 MIN_REVISIT_BYTES = 1000
 #: Content of a frame, and compressed size of a bundle, from which the next one begins.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
-#: Frames that one reading task takes are a run of about so many compressed bytes.
-READ_BYTES = 8 << 20
+#: Frames that are read one after another are a run of about so many bytes of content.
+READ_BYTES = 32 << 20
 LEVEL = 3
-#: Ways over which the rows of one payload are dealt when they are joined to the one that is kept.
-SALTS = 32
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the seekable format.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -50,9 +48,8 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, payload_b
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_records(data: bytes):
-    """(offset, headers, HTTP headers, payload) of each record in ``data``."""
-    at = 0
+def parse_records(data: bytes, at: int = 0):
+    """(offset, headers, HTTP headers, payload) of each record in ``data`` from the offset ``at`` on."""
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         headers = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
@@ -173,27 +170,59 @@ def write_bundles(pages: DataFrame, work: Workspace) -> DataFrame:
 
     Payloads are the UTF-8 bytes of ``html`` (null: empty). Rows whose page_id is null are
     responses, and rows that repeat the largest page_id of a payload are all responses.
+    Which payloads are there more than once is found from their digests alone; payloads are
+    written by the tasks that read them, unless the digests that repeat are too many to broadcast.
+    Further columns, whatever their names, are ignored; no rows give an empty index.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
-    kept = large.where("copies > 1 and keeper is not null").select("digest", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = dealt.join(kept.hint("shuffle_hash"), ["digest", "salt"], "left")
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.unhex(F.sha1("payload")))
+    large = rows.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least"))
+    kept = work.write(large.where("least < keeper").select("digest", "keeper"), "kept")
+    joined = join_sized(rows, kept, ["digest"], 80, "left")
     revisit = F.when(F.col("page_id") < F.col("keeper"), F.col("keeper"))
-    records = joined.select("page_id", "url", F.when(revisit.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "digest", revisit.alias("refers_to"))
-    index = records.mapInArrow(_writer(work.new_path("bundles")), "page_id long, bundle string, frame long, offset long, length long")
-    return work.write(index, "index")
+    records = joined.select("page_id", "url", F.when(revisit.isNull(), F.col("payload")).alias("payload"), "payload_bytes", F.lower(F.hex("digest")).alias("digest"), revisit.alias("refers_to"))
+    index = work.write(records.mapInArrow(_writer(work.new_path("bundles")), "page_id long, bundle string, frame long, offset long, length long"), "index")
+    work.drop(kept)
+    return index
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """Read all records of the bundles of an index back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Read all records of the bundles of an index (a written table) back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Runs of frames are dealt over tasks of their own; their number follows the bytes of content.
+    """
     frames = index.groupBy("bundle", "frame").agg(F.sum("length").alias("bytes"))
-    frames = frames.withColumn("run", F.floor(F.col("frame") * FRAME_BYTES / (4 * READ_BYTES)))
+    frames = frames.withColumn("run", F.floor(F.col("frame") * FRAME_BYTES / READ_BYTES))
     runs = frames.groupBy("bundle", "run").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
-    tasks = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return runs.repartition(tasks, "bundle", "run").mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # A key that the runs are not already dealt by: else the exchange would be left out, and the few small rows put into one task.
+    each = min(8 * READ_BYTES, max(READ_BYTES // 4, total // 2000))  # tasks for small inputs too, and not too many for large ones
+    dealt = runs.repartition(max(1, -(-total // each)), F.xxhash64("bundle", "run"))
+    return dealt.mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def read_at(bundle: str, frame: int, offset: int) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """The record (headers, HTTP headers, payload) at ``offset`` of a frame's content: only the seek table and that frame are read."""
+    fs, path = _open(bundle)
+    with fs.open_input_file(path) as source:
+        at, packed, content = seek_table(source)[frame]
+        source.seek(at)
+        data = zstandard.ZstdDecompressor().decompress(source.read(packed), max_output_size=content)
+    _, headers, http, payload = next(parse_records(data, offset))
+    return headers, http, payload
+
+
+def read_record(index: DataFrame, page_id: int | None) -> list[tuple[dict[str, str], dict[str, str], bytes]]:
+    """The records of a page (more than one if rows repeat it), by way of the index; a revisit has the payload of the record it refers to."""
+    out = []
+    for r in index.where(F.col("page_id").eqNullSafe(F.lit(page_id).cast("long"))).orderBy("bundle", "frame", "offset").collect():
+        headers, http, payload = read_at(r["bundle"], r["frame"], r["offset"])
+        if headers["WARC-Type"] == "revisit":
+            kept = index.where(F.col("page_id") == int(headers["WARC-Refers-To"][len("<urn:page:") : -1])).first()
+            payload = read_at(kept["bundle"], kept["frame"], kept["offset"])[2]
+        out.append((headers, http, payload))
+    return out
 
 
 def op6(pages: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from urllib.parse import urlparse
 
 import duckdb
 import zstandard
+from pyspark.sql.functions import spark_partition_id
 
-from framespan.llm import warc
+from framespan.llm import storage, warc
 from framespan.llm.storage import Workspace
 
 NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -64,3 +65,31 @@ def test_real_rows_and_sql(spark):
 
 def test_many_frames(spark):
     check(spark, [(k, f"{k} " * 40_000) for k in range(60)])
+
+
+def test_records_by_page(spark):
+    big = "<p>" + "é" * 2000
+    rows = [(1, big), (2, big), (3, "small"), (3, "other"), (None, "none"), *((k, f"{k} " * 30_000) for k in range(10, 40))]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    index = warc.write_bundles(pages, Workspace(spark, "test-warc"))
+    for i in (1, 2, None, 10, 39):
+        ((headers, _, payload),) = warc.read_record(index, i)
+        assert payload.decode() == dict(rows)[i] and headers["WARC-Record-ID"] == f"<urn:page:{'null' if i is None else i}>"
+    assert sorted(p.decode() for _, _, p in warc.read_record(index, 3)) == ["other", "small"]
+    assert warc.read_record(index, 1)[0][0]["WARC-Type"] == "revisit" and warc.read_record(index, 99) == []
+
+
+def test_reading_is_spread_over_tasks(spark, monkeypatch):
+    """Descriptors of frames are a few small rows; still they are read by several tasks, and payloads are not shuffled."""
+    monkeypatch.setattr(warc, "READ_BYTES", 1 << 20)
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"{k} " * 40_000) for k in range(80)], "page_id long, url string, html string")
+    read = warc.read_bundles(warc.write_bundles(pages, Workspace(spark, "test-warc")))
+    used = read.withColumn("task", spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in used) == 80 and len(used) >= 8
+
+
+def test_digests_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(storage, "HOT_ROWS", 3)
+    big = "<p>" + "ä" * 1500
+    check(spark, [*((k, big) for k in range(20)), *((100 + k, f"{k % 7}" * 2000) for k in range(30)), (None, big), (3, big), (200, "small")])
