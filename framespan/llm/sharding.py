@@ -5,6 +5,10 @@ were read, so copies of a text lie side by side and a group of copies that is la
 shard can still be cut. Splitters are found by counting the exact bytes below evenly spaced
 boundaries, and again between the two boundaries around each target, until every splitter
 is within the tolerance or next to a single row. Then the rows are exchanged once.
+
+The driver finds the splitters of shards and of up to ``PIECES`` pieces of them. What is larger
+than a task should be is cut further by arithmetic: a piece's range of keys is divided evenly,
+so tasks are as many as the input needs whatever its size.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from framespan.llm.storage import Workspace
 SHARDS, ROW_BYTES = 24, 8
 #: Boundaries probed in a bracket, and the part of a piece's bytes by which a splitter may be off.
 PROBES, TOLERANCE = 4096, 0.001
-#: Bytes that one task of the exchange should have.
-PIECE_BYTES = 128 << 20
-#: Tasks of the exchange, at most: their splitters and counts are held by the driver.
-MAX_PIECES = 8192
+#: Bytes that one group of the exchange should have; a task takes several.
+PIECE_BYTES = 32 << 20
+#: Pieces whose splitters the driver looks for; larger inputs divide each of them evenly.
+PIECES = 6144
 _HASH_BITS = 60
 _LEVELS = ("h", "dh", "dl", "rid")
 _LOWEST = (0, -(1 << 40), -1, -1)
@@ -102,8 +106,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, payload: tuple[str, ..
     rows = work.write(rows, "rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PIECE_BYTES)
-    per = max(1, min(-(-wanted // shards), MAX_PIECES // shards))
+    per = max(1, min(-(-wanted // shards), PIECES // shards))
     pieces = per * shards
+    parts = max(1, -(-wanted // pieces))
     keys = rows.select(*_LEVELS, "size")
     targets = [total * k / pieces for k in range(1, pieces)]
     splitters = _splitters(work, keys, targets, total, TOLERANCE * total / pieces) if total else []
@@ -122,23 +127,37 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, payload: tuple[str, ..
     placed = rows.withColumn("range", F.shiftright("h", _HASH_BITS - 12).cast("int")).join(F.broadcast(ranges), "range")
     placed = placed.withColumn("piece", F.col("base") + F.size(F.filter("inner", lambda s: s <= own))).drop("range", "base", "inner")
 
-    counts = dict(placed.groupBy("piece").count().collect())  # at most ``pieces`` rows
-    offsets, at = [], 0
+    # Parts of a piece: its keys differ first in one of the levels, whose range is divided evenly.
+    placed = placed.join(F.broadcast(spark.createDataFrame(_divisions(sorted(splitters), pieces, parts), "piece int, level int, low long, step long")), "piece")
+    key = F.when(F.col("level") == 0, F.col("h"))
+    for level, c in enumerate(_LEVELS[1:], 1):
+        key = key.when(F.col("level") == level, F.col(c))
+    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.expr("cast((x - low) div step as int)")))
+    placed = placed.withColumn("x", key).withColumn("part", part).withColumn("shard", F.floor(F.col("piece") / per).cast("int")).drop("x", "level", "low", "step")
+
+    counted = work.write(placed.groupBy("shard", "piece", "part").agg(F.count("*").alias("n")), "counts")  # at most pieces * parts rows
+    before = Window.partitionBy("shard").orderBy("piece", "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = work.write(counted.select("piece", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "first")
+    order = Window.partitionBy("piece", "part").orderBy(*_LEVELS)
+    ranked = placed.withColumn("rank", F.row_number().over(order)).join(first, ["piece", "part"])
+    return ranked.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - 1).alias("slot"), *(F.col(f"p_{c}").alias(c) for c in payload))
+
+
+def _divisions(splitters: list[tuple], pieces: int, parts: int) -> list[tuple[int, int, int, int]]:
+    """For each piece the level in which its keys are divided, where that begins, and how much of it a part takes."""
+    out = []
     for p in range(pieces):
-        at = 0 if p % per == 0 else at
-        offsets.append((p, at))
-        at += counts.get(p, 0)
-    first = spark.createDataFrame(offsets, "piece int, first long")
-    order = Window.partitionBy("piece").orderBy(*_LEVELS)
-    ranked = placed.withColumn("rank", F.row_number().over(order)).join(F.broadcast(first), "piece")
-    return ranked.select(
-        "doc_id", "size", "text_crc32",
-        F.floor(F.col("piece") / per).cast("int").alias("shard"),
-        (F.col("first") + F.col("rank") - 1).alias("slot"),
-        *(F.col(f"p_{c}").alias(c) for c in payload),
-    )
+        low = splitters[p - 1] if 0 < p <= len(splitters) else _LOWEST
+        high = splitters[p] if p < len(splitters) else (1 << _HASH_BITS, 1 << 40, 1 << 32, 1 << 62)
+        level = next((k for k in range(len(_LEVELS)) if low[k] < high[k]), 0)
+        out.append((p, level, low[level], max(1, -(-(high[level] - low[level]) // parts))))
+    return out
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+
+    Null texts are empty ones; repeated rows have a slot each; further columns, whatever their
+    names, are ignored; no rows give none.
+    """
     return shard_by_bytes(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
