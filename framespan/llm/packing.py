@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framespan.llm.storage import Workspace
+from framespan.llm.storage import BROADCAST_BYTES, Workspace
 from framespan.llm.worker import held, parts
 
 CAPACITY = 2048
@@ -218,9 +218,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     counted = work.write(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counted.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
+    based = counted.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
+    # One row for each part, of at most ``capacity`` numbers.
+    base = work.write(based.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases")), "bases")
+    if base.count() * (16 * capacity + 64) <= BROADCAST_BYTES:
+        base = F.broadcast(base)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    ranked = pieces.join(base, ["part", "length"]).select(*columns, (F.col("base") + F.col("local")).alias("rank"))
+    ranked = pieces.join(base, "part").select(*columns, (F.element_at("bases", F.col("length")) + F.col("local")).alias("rank"))
     return ranked.mapInArrow(_placer(best_fit_runs(counts, capacity)), f"doc_id long, piece int, start long, length long, ids_crc32 long{ids}, sequence_id long, offset long")
 
 
