@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framespan.llm.rolling import windows_of
 from framespan.llm.storage import Workspace
 
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WORDS = 20, 30, 8
@@ -61,8 +62,7 @@ def measures(docs: DataFrame) -> DataFrame:
     text = text.select("doc_id", "lang", *counts, "rest", F.size("w").cast("long").alias("n_words"), F.length("t0").cast("long").alias("chars"), lines.alias("lines"),
                        F.transform("w", lambda x: F.xxhash64(x)).alias("hw"),
                        F.lower(F.concat(F.lit("  "), F.array_join(F.filter("w", lambda x: F.lower(x).isin(_WORDS)), "  "), F.lit("  "))).alias("found"))
-    starts = F.when(F.size("hw") >= REPEAT_WORDS, F.sequence(F.lit(1), F.size("hw") - (REPEAT_WORDS - 1))).otherwise(F.array().cast("array<int>"))
-    text = text.withColumn("windows", F.transform(starts, lambda i: F.xxhash64(F.slice("hw", i, REPEAT_WORDS))))
+    text = text.withColumn("windows", windows_of("hw", REPEAT_WORDS))
     size = F.length("found")
     each = [((size - F.length(F.replace("found", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in _WORDS]
     text = text.withColumn("each", F.array(*each))

@@ -83,3 +83,12 @@ def test_good_texts_stay_and_most_junk_goes(spark):
         kept[labels[r["doc_id"]]].append(r["kept"])
     assert sum(kept[1]) > 0.99 * len(kept[1])
     assert sum(kept[0]) < 0.1 * len(kept[0])
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(1, "en", " ".join(rng.choice(words) for _ in range(300_000))), (2, "en", "the same words again \n" * 40_000), (3, "en", "x" * 2_000_000)]
+    check(spark, rows)
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows[1:2]], "doc_id long, lang string, text string, w int, hw int, windows int")
+    assert [tuple(r) for r in q.op2(docs).collect()] == brute(rows[1:2])
