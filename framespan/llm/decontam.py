@@ -1,11 +1,12 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame operations only.
 
 An item is cut into windows of 13 consecutive words (one window if it has fewer), a window
-into shingles of 5 words. Shingles are ordered by their number of places in the documents;
-a window can only occur where its rarest shingle does, so only that one (its prefix) is
-joined to generate candidates. The place must leave room for the words before and after it
-in the document (positional and length bounds), and the shingles that together cover the
-window must stand at their places, which makes the containment exact.
+into shingles of 5 words. Containment is asked for in full, so every shingle of a window is
+necessary and the prefix of a window is one shingle: the rarest, by the number of windows
+that have it, of those the one with most characters. Only prefixes are joined to the shingles
+of the documents. The place found must leave room for the words before and after it in the
+window (positional and length bounds), and then the words themselves are compared, window
+by window, with those of the document.
 """
 
 from __future__ import annotations
@@ -14,100 +15,128 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from framespan.llm.storage import Workspace
+from framespan.llm.rolling import windows_of
+from framespan.llm.storage import Workspace, all_of, join_sized, unused
 
 WINDOW_WORDS, SHINGLE_WORDS = 13, 5
-#: Shingle tables of the benchmark are broadcast up to this size; beyond it the join shuffles.
-BROADCAST_BYTES = 8 << 20
+#: What is between words: all of ASCII but digits and letters.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: About how many bytes a row of what is joined takes: prefixes, occurrences of a text, measures of a text.
+_PREFIX_BYTES, _LIST_BYTES, _MEASURE_BYTES = 120, 600, 250
+
+
+def _text(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def _words(text: Column) -> Column:
+    """Words as they are written; only the first and the last part of a split can be empty."""
+    return F.transform(F.array(F.split(text, _BETWEEN)), lambda w: F.slice(w, F.when(F.get(w, 0) == "", 2).otherwise(1), _number(w)))[0]
+
+
+def _number(parts: Column) -> Column:
+    n = F.size(parts)
+    return n - F.when(F.get(parts, 0) == "", 1).otherwise(0) - F.when((n > 1) & (F.get(parts, n - 1) == ""), 1).otherwise(0)
+
+
+def number_of_words(text: Column) -> Column:
+    return F.transform(F.array(F.split(_text(text), _BETWEEN)), _number)[0].cast("long")
 
 
 def words_of(text: Column) -> Column:
     """Words of digits, letters a-z and characters beyond ASCII; A-Z count as a-z, null has none."""
-    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    return _words(F.translate(_text(text), string.ascii_uppercase, string.ascii_lowercase))
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
 
 
-def _shingles(words: str, width: int) -> Column:
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i, width)))
+def _text_keys(*names: str) -> list[Column]:
+    return [F.xxhash64("text").alias(names[0]), F.xxhash64(F.lit(17), F.col("text")).alias(names[1])]
 
 
-def _text_keys() -> list[Column]:
-    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(17), F.col("text")).alias("k2")]
+def _shingles(df: DataFrame, widths: list[int]) -> DataFrame:
+    """``df`` with a row (width, pos, h) for each shingle of the widths of the array ``hw``, places from 1."""
+    kept = [c for c in df.columns if c != "hw"]
+    if len(widths) == 1:
+        return df.select(*kept, F.posexplode(windows_of("hw", widths[0])).alias("pos", "h")).select(*kept, F.lit(widths[0]).alias("width"), (F.col("pos") + 1).alias("pos"), "h")
 
+    def rows(x: int) -> Column:
+        return F.transform(windows_of("hw", x), lambda h, i: F.struct(F.lit(x).alias("width"), (i + 1).alias("pos"), h.alias("h")))
 
-def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if it is small enough."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return df.select(*kept, F.inline(F.concat(*map(rows, widths))))
 
 
-def find_occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of benchmark windows: (k1, k2, n, start, len, wid) by text key, n the words of the text, and (wid, item_id) of the windows.
+def candidates(work: Workspace, docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Places (k1, k2, start, wid) where the prefix of a window stands in a text and the window fits; (k1, k2) is the key of a text.
 
-    (k1, k2) is a 128-bit key of a text; equal texts share their occurrences.
+    ``windows`` has (wid, w) of distinct windows.
     """
-    work = Workspace(docs.sparkSession, "decontam")
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("w"))
-    begin = F.sequence(F.lit(1), F.greatest(F.size("w") - (WINDOW_WORDS - 1), F.lit(1)))
-    windows = items.where(F.size("w") > 0).select("item_id", F.explode(F.transform(begin, lambda i: F.slice("w", i, WINDOW_WORDS))).alias("w"))
-    windows = work.write(windows.withColumn("wid", F.md5(F.array_join("w", " "))).distinct(), "windows")
-    width = F.least(F.size("w"), F.lit(SHINGLE_WORDS))
-    offsets = F.sequence(F.lit(0), F.size("w") - width)
-    pieces = F.transform(offsets, lambda o: F.struct(o.alias("off"), F.xxhash64(F.slice("w", o + 1, width)).alias("h")))
-    tokens = windows.dropDuplicates(["wid"]).select("wid", F.size("w").alias("len"), width.alias("width"), F.inline(pieces))
-    tokens = work.write(tokens.withColumn("need", F.col("len") - F.col("width") + 1), "tokens")
-    widths = sorted(r[0] for r in tokens.select("width").distinct().collect())  # 1 to 5
-
-    vocabulary = _sized(work.write(tokens.select("h").distinct(), "vocabulary"), 64)
-    split = docs.select(*_text_keys(), words_of(F.col("text")).alias("w"))
-    spread = [split.select("k1", "k2", F.size("w").alias("n"), F.posexplode(_shingles("w", x)).alias("pos", "h")) for x in widths]
-    hits = None
-    for part in spread:
-        part = part.join(vocabulary, "h")
-        hits = part if hits is None else hits.union(part)
-    if hits is None:
-        hits = split.select("k1", "k2", F.size("w").alias("n"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).where("false")
-    hits = work.write(hits.select("k1", "k2", "n", "pos", "h"), "hits")
-
-    # The rarest shingle of each window all of whose shingles occur somewhere.
-    found = tokens.join(hits.groupBy("h").agg(F.count("*").alias("df")), "h")
-    rarest = found.groupBy("wid", "len", "width", "need").agg(F.min(F.struct("df", "h", "off")).alias("r"), F.count("*").alias("have")).where("have = need")
-    prefix = _sized(work.write(rarest.select("wid", "len", "width", F.col("r.h").alias("h"), F.col("r.off").alias("off")), "prefix"), 128)
-    candidates = hits.join(prefix, "h").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + len <= n")
-    candidates = work.write(candidates.select("k1", "k2", "n", "start", "len", "wid").distinct(), "candidates")
-
-    # Every fifth shingle and the last one cover the whole window.
-    cover = tokens.where("off % width = 0 or off = len - width").select("wid", "off", "h")
-    cover = _sized(work.write(cover, "cover"), 128)
-    wanted = candidates.join(cover, "wid").withColumn("pos", F.col("start") + F.col("off"))
-    held = wanted.join(hits.select("k1", "k2", "pos", "h").distinct(), ["k1", "k2", "pos", "h"])
-    parts = F.ceil(F.col("len") / F.least(F.col("len"), F.lit(SHINGLE_WORDS)))
-    sure = held.groupBy("k1", "k2", "n", "start", "len", "wid").agg(F.count("*").alias("held")).where(F.col("held") >= parts)
-    return work.write(sure.drop("held"), "occurrences"), windows.select("wid", "item_id")
+    # Full lower case makes more words equal than A-Z as a-z does, so it loses no place; and it is had much faster.
+    folded = windows.select("wid", F.size("w").alias("len"), F.least(F.size("w"), F.lit(SHINGLE_WORDS)).alias("width"), F.transform("w", lambda x: F.lower(x)).alias("lw"))
+    widths = sorted(r[0] for r in folded.select("width").distinct().collect())  # 1 to 5
+    if not widths:
+        return work.write(docs.select(*_text_keys("k1", "k2"), F.lit(0).alias("start"), F.lit("").alias("wid")).where("false"), "candidates")
+    tokens = _shingles(folded.withColumnRenamed("width", "own").withColumn("hw", _hashes(F.col("lw"))), widths).where("width = own")
+    chars = F.aggregate(F.slice("lw", F.col("pos"), F.col("width")), F.lit(0), lambda a, x: a + F.length(x))
+    tokens = work.write(tokens.select("wid", "len", "width", F.col("pos").alias("at"), "h", chars.alias("chars")), "tokens")
+    spread = tokens.groupBy("width", "h").agg(F.count_distinct("wid").alias("windows"))
+    ranked = tokens.join(spread, ["width", "h"]).groupBy("wid", "len", "width").agg(F.min(F.struct("windows", -F.col("chars"), "h", "at")).alias("r"))
+    prefix = work.write(ranked.select("width", F.col("r.h").alias("h"), "wid", "len", F.col("r.at").alias("at")), "prefix")
+
+    split = docs.select(*_text_keys("k1", "k2"), _hashes(_words(F.lower(_text(F.col("text"))))).alias("hw"))
+    places = _shingles(split.withColumn("n", F.size("hw")), widths)
+    found = join_sized(places, prefix, ["width", "h"], _PREFIX_BYTES).withColumn("start", F.col("pos") - F.col("at") + 1)
+    found = work.write(found.where("start >= 1 and start + len - 1 <= n").select("k1", "k2", "start", "wid").distinct(), "candidates")
+    work.drop(tokens, prefix)
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per text key with an occurrence: (k1, k2, n, n_hit, n_items, items_sha256), n the words of the text.
+    """One row per text with an occurrence: (k1, k2, n, n_hit, n_items, items_sha256), (k1, k2) a 128-bit key of the text, n its words.
 
     Null and empty texts have no words; items without words have no windows; an item whose
-    id is null marks words as hit but is not listed.
+    id is null marks words as hit but is not listed. Only ``text`` of ``docs`` is read.
     """
-    occurrences, owners = find_occurrences(docs, benchmark)
-    order = Window.partitionBy("k1", "k2").orderBy("start", "len", "wid")
-    before = F.coalesce(F.max(F.col("start") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fresh = F.greatest(F.lit(0), F.col("start") + F.col("len") - F.greatest("start", before))
-    hit = occurrences.select("k1", "k2", "n", fresh.alias("fresh")).groupBy("k1", "k2").agg(F.sum("fresh").alias("n_hit"), F.first("n").alias("n"))
-    owned = occurrences.select("k1", "k2", "wid").distinct().join(owners, "wid").select("k1", "k2", F.col("item_id").cast("string").alias("item"))
-    listed = owned.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return hit.join(listed, ["k1", "k2"]).select("k1", "k2", "n", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    work = Workspace(docs.sparkSession, "decontam")
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("w"))
+    begin = F.sequence(F.lit(1), F.greatest(F.size("w") - (WINDOW_WORDS - 1), F.lit(1)))
+    cut = items.where(F.size("w") > 0).select("item_id", F.explode(F.transform(begin, lambda i: F.slice("w", i, WINDOW_WORDS))).alias("w"))
+    owned = work.write(cut.select("item_id", F.sha2(F.array_join("w", " "), 256).alias("wid"), "w").distinct(), "windows")
+    windows = work.write(owned.select("wid", "w").dropDuplicates(["wid"]), "distinct")
+    found = candidates(work, docs, windows)
+
+    # The windows that may stand in a text, and where; then their words against those of the text.
+    wanted = join_sized(found, windows, ["wid"], _PREFIX_BYTES).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "wid", "w")).alias("may"))
+    wanted = work.write(wanted, "wanted")
+    texts = join_sized(docs.select(*_text_keys("k1", "k2"), "text"), wanted, ["k1", "k2"], _LIST_BYTES)
+    texts = texts.select("k1", "k2", "may", words_of(F.col("text")).alias("own"))
+    sure = F.array_sort(F.filter("may", lambda c: F.slice("own", c["start"], F.size(c["w"])) == c["w"]))
+    texts = texts.select("k1", "k2", F.size("own").alias("n"), F.transform(sure, lambda c: F.struct(c["start"].alias("lo"), (c["start"] + F.size(c["w"])).alias("hi"), c["wid"].alias("wid"))).alias("sure"))
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
+    fresh = lambda a, c: F.struct(F.greatest(a["end"], c["hi"]).alias("end"), (a["hit"] + F.greatest(F.lit(0), c["hi"] - F.greatest(c["lo"], a["end"]))).alias("hit"))
+    hit = F.aggregate("sure", zero, fresh)["hit"]
+    measured = texts.where(F.size("sure") > 0).select("k1", "k2", "n", hit.alias("n_hit"), F.array_distinct(F.transform("sure", lambda c: c["wid"])).alias("wids"))
+    measured = work.write(measured.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("n_hit").alias("n_hit"), F.first("wids").alias("wids")), "measured")
+
+    listed = join_sized(measured.select("k1", "k2", F.explode("wids").alias("wid")), owned, ["wid"], _PREFIX_BYTES).select("k1", "k2", F.col("item_id").cast("string").alias("item"))
+    listed = listed.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = measured.join(listed, ["k1", "k2"]).select("k1", "k2", "n", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    out = work.write(out, "contamination")
+    work.drop(found, wanted, measured, windows, owned)
+    return out
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    counted = docs.select("doc_id", *_text_keys(), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    joined = counted.join(contamination(docs, benchmark).drop("n"), ["k1", "k2"], "left")
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null texts have no words; repeated rows are alike; further columns, whatever their names,
+    are ignored; no documents give no rows, and without items nothing is hit.
+    """
+    counted = docs.select("doc_id", *_text_keys("k1", "k2"), number_of_words(F.col("text")).alias("n_words"))
+    joined = join_sized(counted, contamination(docs, benchmark).drop("n"), ["k1", "k2"], _MEASURE_BYTES, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         "doc_id",
@@ -120,10 +149,13 @@ def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated (a twentieth of their words hit, or more)."""
-    keyed = docs.select("*", F.xxhash64("text").alias("__k1"), F.xxhash64(F.lit(17), F.col("text")).alias("__k2"))
-    bad = contamination(docs, benchmark).where("n_hit * 20 >= n").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    return keyed.join(bad, ["__k1", "__k2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that are not contaminated (a twentieth of their words hit, or more), with all columns, whatever their names, as they are."""
+    k1, k2 = unused(docs.columns, "k1", "k2")
+    keyed = docs.select("*", *_text_keys(k1, k2))
+    work = Workspace(docs.sparkSession, "decontam")
+    bad = work.write(contamination(docs, benchmark).where("n_hit * 20 >= n").select(F.col("k1").alias(k1), F.col("k2").alias(k2)), "bad")
+    kept = join_sized(keyed, bad, [k1, k2], 48, "left_anti")
+    return kept.select(*all_of(kept, docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -6,6 +6,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
+from framespan.llm import storage
 from framespan.llm.decontam import ORACLE_SQL, keep_uncontaminated, op10
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -77,3 +78,22 @@ def test_real_rows_and_sql(spark):
         for t in ("documents", "benchmark"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
         assert sorted(db.sql(ORACLE_SQL).fetchall(), key=str) == want
+
+
+def test_long_texts_and_hot_ones(spark, monkeypatch):
+    """A very long text full of occurrences, a text and a passage that a third of all rows hold, and nothing small enough to broadcast."""
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(storage, "HOT_ROWS", 15)
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"v{rng.randrange(500)}" for _ in range(n))
+    items = [(k, text(40)) for k in range(6)]
+    long = " ".join(text(2000) + " " + items[k % 6][1] for k in range(60))
+    docs = [(0, long), (1, long + " tail"), *((10 + k, items[0][1]) for k in range(50)), *((100 + k, text(30) + " " + items[1][1] + " " + text(5)) for k in range(50)), *((200 + k, text(60)) for k in range(50))]
+    check(spark, docs, items)
+
+
+def test_letters_that_full_lower_case_would_change(spark):
+    """Only A-Z count as a-z; the Kelvin sign, dotted I and others are as they are written."""
+    item = " ".join(["kelvin", "istanbul", "straße", "ünï"] * 4)
+    docs = [(1, item.upper()), (2, item.replace("k", "\u212a")), (3, item.replace("i", "\u0130")), (4, item.replace("ü", "Ü")), (5, item.title().replace("Ü", "ü")), (6, item)]
+    check(spark, docs, [(1, item), (2, "\u212aelvin \u0130")])
