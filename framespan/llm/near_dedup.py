@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from framespan.llm.components import connected_components
 from framespan.llm.shingles import groups, mix, shingle_batch
-from framespan.llm.storage import Workspace
+from framespan.llm.storage import Workspace, all_of, hot_from, join_dealt, join_sized, unused
 from framespan.llm.worker import ROWS, release, trim
 
 SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 85
@@ -82,8 +82,8 @@ def _text_keys() -> list:
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), F.col("text")).alias("t2")]
 
 
-def _allowed(n1: str, n2: str, overlap) -> F.Column:
-    return F.lit(100) * overlap >= F.lit(THRESHOLD_PERCENT) * (F.col(n1) + F.col(n2) - overlap)
+def _allowed(n1: str, n2: str, overlap, percent: int) -> F.Column:
+    return F.lit(100) * overlap >= F.lit(percent) * (F.col(n1) + F.col(n2) - overlap)
 
 
 def _first_table() -> F.Column:
@@ -95,91 +95,104 @@ def _first_table() -> F.Column:
     return first(0) * SIDE + first(SIDE)
 
 
-def _confirmed(work: Workspace, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(work: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     first = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
     both = first.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     counted = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("o"))
-    return work.write(counted.where(_allowed("na", "nb", F.col("o"))).select("a", "b"), "links")
+    return work.write(counted.where(_allowed("na", "nb", F.col("o"), percent)).select("a", "b"), "links")
 
 
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component, with their roots."""
+def _star(members: DataFrame, pivot: str) -> DataFrame:
+    """Pairs (a, b) of the members of buckets and their pivots."""
+    return members.where(F.col("c") != F.col(pivot)).select(F.least("c", pivot).alias("a"), F.greatest("c", pivot).alias("b")).distinct()
+
+
+def _rooted(work: Workspace, members: DataFrame, roots: DataFrame, hot: DataFrame, most: int, label: str) -> DataFrame:
+    """Members of buckets that still hold more than one component, with their roots and how many they are."""
     own = members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("left")).where("lo <> hi")
-    return own.join(mixed.select("key", "left"), "key")
+    return work.write(join_dealt(own, mixed.select("key", "left"), ["key"], hot, most), label)
 
 
-def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.85 or more.
+def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Components of documents whose sets of 5-word shingles have a Jaccard similarity of ``percent`` (85) hundredths or more.
 
-    Takes ``doc_id`` and ``text`` of ``docs`` (further columns are ignored). Returns two tables:
-    one row per input row with (doc_id, t1, t2, n, component_id, root), where (t1, t2) is a
-    128-bit key of the text, and the confirmed links between classes (a, b). A text without
-    words, or null, has an empty set, its own ``doc_id`` as component and no root. Copies and
-    repeated rows are one class. A component's id is the least ``doc_id`` that is not null, null
-    if there is none; ids may repeat, so only ``root``, the least class, tells components apart.
+    Takes ``doc_id`` and ``text`` of ``docs`` (further columns, whatever their names, are ignored).
+    Returns two tables: one row per input row with (doc_id, t1, t2, n, component_id, root), where
+    (t1, t2) is a 128-bit key of the text, and the confirmed links between classes (a, b). A text
+    without words, or null, has an empty set, its own ``doc_id`` as component and no root. Copies
+    and repeated rows are one class. A component's id is the least ``doc_id`` that is not null,
+    null if there is none; ids may repeat, so only ``root``, the least class, tells components apart.
+    No rows give none.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "near-dedup")
     cast = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = cast.select("doc_id", *_text_keys(), "text")
-    rows = work.write(keyed.mapInArrow(_signatures, "doc_id long, t1 long, t2 long, n long, c binary, keys array<long>"), "rows")
-    classes = work.write(
-        rows.where("c is not null")
-        .groupBy("c")
-        .agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("t1", "t2", F.col("doc_id").alias("d"))).alias("text_at"), F.first("n").alias("n"), F.first("keys").alias("keys")),
-        "classes",
+    rows = work.write(keyed.mapInArrow(_signatures, "doc_id long, t1 long, t2 long, n long, c binary, keys array<long>").withColumnRenamed("c", "same"), "rows")
+    alike = rows.where("same is not null").groupBy("same").agg(
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("t1", "t2", F.col("doc_id").alias("d"))).alias("text_at"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies")
     )
+    # Classes get short numbers, once and for all as they are written.
+    classes = work.write(alike.withColumn("c", F.monotonically_increasing_id()), "classes")
+    sizes = classes.select("c", "n")
     tables = F.array(*(F.xxhash64(F.lit(i * SIDE + j), F.col("keys")[i], F.col("keys")[SIDE + j]) for i in range(SIDE) for j in range(SIDE)))
-    placed = classes.select("c", "n", F.posexplode(tables).alias("t", "key"))
-    buckets = placed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("c", "n")).alias("pivot")).where("size > 1")
-    members = work.write(placed.join(buckets, "key"), "members")
+    placed = classes.select("c", "n", F.explode(tables).alias("key"))
+    shared_keys = placed.groupBy("key").agg(F.count("*").alias("copies"), F.min("c").alias("pivot")).where("copies > 1")
+    buckets = work.write(shared_keys.join(sizes.select(F.col("c").alias("pivot"), F.col("n").alias("pn")), "pivot"), "buckets")
+    most = hot_from(SIDE * SIDE * classes.count())
+    hot = work.write(buckets.select("key", "copies").where(F.col("copies") > most), "hot")
+    members = work.write(join_dealt(placed, buckets, ["key"], hot, most), "members")
 
     wanted = members.select("c").distinct().join(classes.select("c", "text_at"), "c").select("c", F.col("text_at.t1").alias("t1"), F.col("text_at.t2").alias("t2"), F.col("text_at.d").alias("doc_id"))
-    texts = keyed.alias("k").join(wanted.alias("w"), F.expr("k.t1 = w.t1 and k.t2 = w.t2 and k.doc_id <=> w.doc_id")).select("w.c", "k.text")
-    sets = work.write(texts.mapInArrow(_full_sets, "c binary, s array<long>").dropDuplicates(["c"]), "sets")
-
-    near = F.expr(f"100 * least(n, pn) >= {THRESHOLD_PERCENT} * greatest(n, pn)")
-    star = members.select("c", "n", F.col("pivot.c").alias("p"), F.col("pivot.n").alias("pn")).where("c <> p").where(near)
-    tried = work.write(star.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct(), "tried")
-    links = _confirmed(work, tried, sets)
+    # A null id matches a null id: its place is taken by whether it is null, and a number.
+    known = lambda df: df.withColumn("none", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    texts = join_sized(known(keyed), work.write(known(wanted), "wanted"), ["t1", "t2", "none", "doc_id"], 64)
+    sets = work.write(texts.select("c", "text").mapInArrow(_full_sets, "c long, s array<long>").dropDuplicates(["c"]), "sets")
+
+    near = F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn")  # else no overlap is enough
+    tried = work.write(_star(members.where(near), "pivot"), "tried")
+    links = _confirmed(work, tried, sets, percent)
     roots = work.write(connected_components(work, links), "roots")
 
     # Buckets of three or more whose members are not yet all in one component.
-    left = work.write(_rooted(members.where("size > 2"), roots), "left")
+    left = _rooted(work, members.where("copies > 2").select("key", "c"), roots, hot, most, "left")
     if left.limit(1).count():
         tokens = sets.join(left.select("c").distinct(), "c", "left_semi").select("c", F.explode("s").alias("t"))
         lone = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("c").alias("c")).where("df = 1").groupBy("c").agg(F.count("*").alias("lone"))
-        shared = work.write(
-            left.select("c", "n").distinct().join(lone, "c", "left").select("c", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"), "n").where(f"100 * shared >= {THRESHOLD_PERCENT} * n").select("c", "shared"),
-            "shared",
-        )
-        kept = work.write(left.select("t", "key", "c", "n", "root", "pivot").join(shared, "c"), "kept")
+        shared = left.select("c").distinct().join(sizes, "c").join(lone, "c", "left").select("c", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
+        shared = work.write(shared.where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n")), "shared")
+        kept = work.write(left.select("key", "c").join(shared, "c"), "kept")
         best = kept.groupBy("key").agg(F.max(F.struct("shared", "c", "n")).alias("best"))
-        again = kept.join(best, "key").select("c", "n", "shared", F.col("best.c").alias("p"), F.col("best.n").alias("pn"), F.col("best.shared").alias("ps"))
-        again = again.where("c <> p").where(_allowed("n", "pn", F.least("shared", "ps")))
-        second = work.write(again.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "second")
-        links = links.union(_confirmed(work, second, sets))
+        again = join_dealt(kept, best, ["key"], hot, most).where(F.col("c") != F.col("best.c")).where(_allowed("n", "best.n", F.least("shared", "best.shared"), percent))
+        again = again.select("c", F.col("best.c").alias("p"))
+        second = work.write(_star(again, "p").join(tried, ["a", "b"], "left_anti"), "second")
+        links = links.union(_confirmed(work, second, sets, percent))
         roots = work.write(connected_components(work, links), "roots")
 
-        rest = _rooted(kept.select("t", "key", "c", "n", "shared", "pivot"), roots).join(classes.select("c", "keys"), "c")
-        rest = work.write(rest, "rest")
+        rest = work.write(_rooted(work, kept, roots, hot, most, "mixed").join(classes.select("c", "keys"), "c"), "rest")
         parts = F.ceil(F.col("left") / BLOCK).cast("int")
         own, all_parts = F.pmod(F.xxhash64("c"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
-        x = rest.select("t", "key", "c", "n", "shared", "root", "keys", own.alias("px"), all_parts.alias("py"))
+        x = rest.select("key", "c", "n", "shared", "root", "keys", own.alias("px"), all_parts.alias("py"))
         y = rest.select("key", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("root").alias("root2"), F.col("keys").alias("keys2"), own.alias("py"), all_parts.alias("px"))
-        pairs = x.join(y, ["key", "px", "py"]).where("c < c2 and root <> root2").where(_allowed("n", "n2", F.least("shared", "shared2"))).where(F.col("t") == _first_table())
-        last = pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct().join(tried.union(second), ["a", "b"], "left_anti")
-        links = links.union(_confirmed(work, last, sets))
+        met = x.join(y, ["key", "px", "py"]).where("c < c2 and root <> root2").where(_allowed("n", "n2", F.least("shared", "shared2"), percent))
+        table = _first_table()
+        once = F.xxhash64(table.cast("int"), F.get("keys", (table / SIDE).cast("int")), F.get("keys", (table % SIDE + SIDE).cast("int")))
+        last = met.where(F.col("key") == once).select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct().join(tried.union(second), ["a", "b"], "left_anti")
+        links = links.union(_confirmed(work, last, sets, percent))
         roots = work.write(connected_components(work, links), "roots")
+        work.drop(shared, kept, second, rest)
 
-    named = classes.select("c", "doc_id").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = classes.select("same", "c", "doc_id", "copies").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = work.write(named.join(least, "root").select("c", "component_id", "root"), "component")
-    empty = rows.where("c is null").select("doc_id", "t1", "t2", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"))
-    full = rows.where("c is not null").select("doc_id", "t1", "t2", "n", "c").join(component, "c").select("doc_id", "t1", "t2", "n", "component_id", "root")
-    return full.union(empty), links
+    component = work.write(named.join(least, "root").select("same", "component_id", "root", "copies"), "component")
+    empty = rows.where("same is null").select("doc_id", "t1", "t2", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    many = hot_from(rows.count())
+    full = join_dealt(rows.where("same is not null").select("doc_id", "t1", "t2", "n", "same"), component.drop("copies"), ["same"], component.select("same", "copies").where(F.col("copies") > many), many)
+    out = work.write(full.select("doc_id", "t1", "t2", "n", "component_id", "root").union(empty), "components")
+    work.drop(rows, classes, buckets, hot, members, sets, tried, left, component)
+    return out, links
 
 
 def op7(docs: DataFrame) -> DataFrame:
@@ -188,21 +201,39 @@ def op7(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without near duplicates of a document that stays.
+def keep_one_of_each(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, whatever their names, without near duplicates of a document that stays.
 
     Of each component the row with the least ``doc_id`` that is not null stays, of repeated such
-    rows one; documents without words all stay.
+    rows the least by the other columns; documents without words all stay.
     """
-    found, _ = near_duplicates(docs)
-    stay = found.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("k"))
-    stay = stay.select(F.col("k.doc_id").alias("__id"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2"))
-    blank = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    marked = docs.withColumn("__blank", blank)
-    joined = marked.where("not __blank").alias("d").join(stay.alias("s"), (F.col("d.doc_id").eqNullSafe(F.col("s.__id"))) & (F.xxhash64("d.text") == F.col("s.__t1")) & (F.xxhash64(F.lit(17), F.col("d.text")) == F.col("s.__t2")), "left_semi")
-    repeated = found.where("n > 0").groupBy("doc_id", "t1", "t2").count().where("count > 1").limit(1).count()
-    one = joined.dropDuplicates(["doc_id", "text"]) if repeated else joined
-    return one.union(marked.where("__blank")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found, _ = near_duplicates(docs, percent)
+    work = Workspace(docs.sparkSession, "near-dedup")
+    i, t1, t2, none = unused(docs.columns, "i", "t1", "t2", "none")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    best = found.where("n > 0").groupBy("root").agg(F.min(key).alias("k"), F.count("*").alias("copies"))
+    best = work.write(best, "best")
+    many = hot_from(found.count())
+    hot = best.select("root", "copies").where(F.col("copies") > many)
+    judged = work.write(join_dealt(found.where("n > 0"), best.select("root", "k"), ["root"], hot, many).select(key.alias("own"), (key == F.col("k")).alias("stays")), "judged")
+    goes = judged.where("not stays").select(F.coalesce("own.doc_id", F.lit(0).cast("long")).alias(i), F.col("own.none").alias(none), F.col("own.t1").alias(t1), F.col("own.t2").alias(t2)).distinct()
+    goes = work.write(goes, "goes")
+    text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    marked = docs.select("*", F.coalesce(doc, F.lit(0).cast("long")).alias(i), doc.isNull().alias(none), F.xxhash64(text).alias(t1), F.xxhash64(F.lit(17), text).alias(t2))
+    kept = join_sized(marked, goes, [i, none, t1, t2], 64, "left_anti")
+    repeated = judged.where("stays").groupBy("own").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return kept.select(*all_of(kept, docs.columns))
+    # Copies of a row that stays: the least of them, found before the shuffle as far as a task has several.
+    blank = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
+    wordless = kept.where(blank).select(*all_of(kept, docs.columns))
+    own = [c for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    if len(own) < len(docs.columns):  # maps have no order: any copy stays
+        return kept.where(~blank).dropDuplicates([i, none, t1, t2]).select(*all_of(kept, docs.columns)).union(wordless)
+    order = sorted(own, key=lambda c: c in ("doc_id", "text"))  # by what may differ, not by the text
+    (row,) = unused(kept.columns, "row")
+    least = kept.where(~blank).groupBy(i, none, t1, t2).agg(F.min(F.struct(*all_of(kept, order))).alias(row))
+    return least.select(*(F.col(row)[c].alias(c) for c in docs.columns)).union(wordless)
 
 
 ORACLE_SQL = r"""
