@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framespan.functions.columns import u16
 
@@ -112,11 +113,19 @@ def cue_mask(cues: DataFrame, pattern: str, ignore_case: bool = False) -> DataFr
 
     Cues without text, or that do not last, count for nothing.
     """
-    real = cues.where("end > start and text is not null")
-    length = real.groupBy("src").agg(F.max(F.ceil("end")).cast("int").alias("length"))
-    match = F.col("text").rlike(("(?i)" if ignore_case else "") + pattern)
-    hit = real.where(match).select("src", F.explode(F.sequence(F.floor("start").cast("int"), F.greatest(F.ceil("end").cast("int") - 1, F.floor("start").cast("int")))).alias("frame")).distinct()
-    return everything(length, False).drop("on").join(hit.withColumn("hit", F.lit(True)), ["src", "frame"], "left").select("src", "frame", F.coalesce("hit", F.lit(False)).alias("on"))
+    match = F.col("text").rlike(("(?i)" if ignore_case else "") + pattern) & F.col("src").isNotNull()
+    real = cues.where("end > start and text is not null").select("src", F.floor("start").cast("int").alias("low"), F.ceil("end").cast("int").alias("high"), match.alias("match"))
+    # Runs of frames follow from one pass over the cues in order; only at the end each frame is spelled out.
+    order = Window.partitionBy("src").orderBy(F.when(F.col("match"), F.col("low")))
+    stop = F.when(F.col("match"), F.col("high"))
+    before = F.coalesce(F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    so_far = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = real.select("src", "match", "low", stop.alias("stop"), before.alias("before"), F.when(F.lead("low").over(order).isNull(), so_far).alias("length"))
+    run = lambda a, b, on: F.struct(a.alias("a"), b.alias("b"), F.lit(on).alias("on"))
+    c = F.col
+    runs = F.array(run(c("before"), F.when(c("match"), c("low")), False), run(F.greatest("before", "low"), c("stop"), True), run(F.greatest("before", "stop"), c("length"), False))
+    found = rows.select("src", F.inline(F.filter(runs, lambda r: r["b"] > r["a"])))
+    return found.select("src", F.explode(F.sequence("a", c("b") - 1)).alias("frame"), "on")
 
 
 def word_pattern(word: str) -> str:

@@ -1,5 +1,6 @@
 """Masks and segments against literal forms."""
 
+import math
 import random
 
 import pytest
@@ -86,3 +87,18 @@ def test_overrides_extend_and_the_last_wins(spark):
     lengths = spark.createDataFrame([("a", 14)], "src string, length long")
     got = [r["action"] for r in segments.override(labels, ranges, lengths).orderBy("frame").collect()]
     assert got == [0, 0, 5, 5, 6, 6, 6, 6, 1, 1, 0, 0, 7, 7]
+
+
+def test_cue_masks_spell_out_runs_without_a_join(spark):
+    rng = random.Random(5)
+    rows = [(f"s{k % 30}", a := rng.randint(-20, 400) / 4, a + rng.randint(-1, 60) / 4, rng.choice(["the cat", "a cat", "THE", "", None])) for k in range(400)]
+    rows += [("long", 0.0, 70000.0, "none"), ("long", 69000.0, 69001.5, "the"), ("off", 2.0, 3.0, "none"), ("before", -9.0, -2.0, "the"), (None, 0.0, 3.0, "the")]
+    want = {}
+    for src in {r[0] for r in rows}:
+        real = [r for r in rows if r[0] == src and r[3] is not None and r[2] > r[1]]
+        on = {f for _, a, b, t in real if "the" in t.lower() and src for f in range(math.floor(a), math.ceil(b))}
+        want |= {(src, f): f in on for f in range(max((math.ceil(r[2]) for r in real), default=0))}
+    df = masks.cue_mask(spark.createDataFrame(rows, "src string, start double, end double, text string"), masks.word_pattern("the"), True)
+    got = [((r["src"], r["frame"]), r["on"]) for r in df.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()  # the frames of all sources were broadcast where the table is a small file
