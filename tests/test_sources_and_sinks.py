@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 import wave
 from fractions import Fraction
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framespan.operators import kernels, mixing, transitions
+from framespan.queries import QUERIES
 from framespan.sinks import dumps, editors, timeline_json
 from framespan.sources import media, subtitles, timeline_json as reader, wav, xmeml
 
@@ -55,6 +57,39 @@ def test_documents(clips, fades, kind):
         assert len(root.findall("playlist")) == 2 and len([t for t in root.findall("tractor") if t.get("id").startswith("transition")]) == 2
 
 
+def test_documents_of_many_timelines_across_batches(spark):
+    """A timeline whose clips come in several batches, beside short ones; nothing is grouped in pandas, which costs milliseconds a timeline."""
+    rows = [(f"t{k}" if k else None, "v", layer, n, n * 10, 10, n * 20, f"/m/{n % 3}.mp4", 1.0) for k in range(40) for layer in (0, 1) for n in range(25 if k == 7 else 2)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "src string, kind string, layer int, ord long, start long, dur long, offset long, media string, speed double")
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(most, 3)
+    try:
+        docs = editors.documents(df, None, "otio", Fraction(30))
+        got = {r["src"]: json.loads(r["document"]) for r in docs.collect()}
+    finally:
+        spark.conf.unset(most)
+    assert len(got) == 40
+    for src, doc in got.items():
+        want = [[r[6] for r in sorted(rows, key=lambda r: r[3]) if r[0] == src and r[2] == layer] for layer in (0, 1)]
+        assert doc["name"] == str(src) and [[c["source_range"]["start_time"]["value"] for c in t["children"]] for t in doc["tracks"]["children"]] == want
+    assert "InPandas" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_of_documents_is_escaped():
+    odd = """/m/a&b<c>"d'\té.mp4"""
+    text = editors.kdenlive(editors.Timeline("t", Fraction(25), {("v", 0): [editors.Clip(0, 5, 0, odd)]}))
+    root = ET.fromstring(text)
+    assert root.find("chain/property").text == odd and root.find("playlist/entry").get("producer") == "chain0"
+    root = ET.fromstring(editors.xmeml(editors.Timeline(odd, Fraction(25), {("v", 0): [editors.Clip(0, 5, 0, odd)]})))
+    assert root.findtext("sequence/name") == odd and root.findtext(".//file/name") == odd.removeprefix("/m/")
+
+
+@pytest.mark.parametrize("name", ["q_fcpxml"])
+def test_queries_of_documents_group_nothing_in_pandas(spark, name):
+    assert "InPandas" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_xmeml_round_trip(spark, clips):
     docs = editors.documents(clips, None, "premiere", Fraction(30))
     back = xmeml.read_xmeml(docs)
