@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framespan.functions import values as V
 from framespan.operators import kernels, mixing, transitions
 from framespan.queries import QUERIES
 from framespan.sinks import dumps, editors, timeline_json
@@ -85,11 +86,19 @@ def test_text_of_documents_is_escaped():
     assert root.findtext("sequence/name") == odd and root.findtext(".//file/name") == odd.removeprefix("/m/")
 
 
-@pytest.mark.parametrize("name", ["q_fcpxml"])
+@pytest.mark.parametrize("name", ["q_fcpxml", "q_kdenlive"])
 def test_queries_of_documents_group_nothing_in_pandas(spark, name):
     assert "InPandas" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_times_are_rounded_as_fractions():
+    for rate in (Fraction(30000, 1001), Fraction(25), Fraction(2997, 100), Fraction(16), Fraction(24000, 1001)):
+        for n in (-7, -1, 0, 1, 2, 29, 1001, 30000, 123_457, 10_000_001):
+            ms = V.half_away(Fraction(n) / rate * 1000)
+            want = f"{ms // 3_600_000:02d}:{ms // 60_000 % 60:02d}:{ms // 1000 % 60:02d}.{ms % 1000:03d}"
+            assert editors._clock(editors.Timeline("t", rate, {}))(n) == want
+
+
 def test_xmeml_round_trip(spark, clips):
     docs = editors.documents(clips, None, "premiere", Fraction(30))
     back = xmeml.read_xmeml(docs)
