@@ -86,7 +86,7 @@ def test_text_of_documents_is_escaped():
     assert root.findtext("sequence/name") == odd and root.findtext(".//file/name") == odd.removeprefix("/m/")
 
 
-@pytest.mark.parametrize("name", ["q_fcpxml", "q_kdenlive", "q_shotcut", "q_otio", "q_stereo_tracks"])
+@pytest.mark.parametrize("name", ["q_fcpxml", "q_kdenlive", "q_shotcut", "q_otio", "q_stereo_tracks", "q_xmeml_round_trip"])
 def test_queries_of_documents_group_nothing_in_pandas(spark, name):
     assert "InPandas" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
