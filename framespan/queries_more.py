@@ -5,7 +5,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framespan import queries as Q
@@ -351,15 +351,25 @@ def q_fcpxml(spark, sf_dir):
     return one.select("src", F.regexp_count("s", F.lit("<asset-clip ")).alias("clips"), _sum_of("s", r'<asset-clip [^>]* duration="(\d+)(?:/30)?s"').alias("dur"), _sum_of("s", r'<asset-clip [^>]* start="(\d+)(?:/30)?s"').alias("offset"), F.regexp_count("s", F.lit("<timeMap>")).alias("retimed"))
 
 
+def _milliseconds(digits: Column) -> Column:
+    """Of a time hhmmssmmm, with any number of hours."""
+    long = digits - C.whole_div(digits, 10_000_000) * 6_400_000 - C.whole_div(digits, 100_000) % 100 * 40_000
+    return F.when(digits < 100_000, digits).otherwise(long)
+
+
+def _entries(docs: DataFrame) -> DataFrame:
+    """Entries of MLT documents (src, document), with the sums of their times: a document is searched once."""
+    found = docs.select("src", F.regexp_extract_all("document", F.lit(r'<entry producer="[^"]*" in="([\d:.]+" out="[\d:.]+)"'), F.lit(1)).alias("e"))
+    none = F.lit("")
+    found = found.select("src", F.transform("e", lambda e: F.replace(F.replace(e, F.lit(":"), none), F.lit("."), none)).alias("e"))
+    total = lambda side: F.aggregate(F.transform("e", lambda e: F.substring_index(e, '"', side).cast("long")), F.lit(0).cast("long"), lambda a, t: a + _milliseconds(t))
+    return found.select("src", F.size("e").alias("entries"), total(1).alias("in_ms"), total(-1).alias("out_ms"))
+
+
 def _mlt(spark, sf_dir, kind: str) -> DataFrame:
     from framespan.sinks import editors
 
-    docs = editors.documents(_documented(spark, sf_dir), None, kind, Fraction(25))
-    ms = lambda side: F.aggregate(
-        F.transform(F.regexp_extract_all("document", F.lit(rf'<entry [^>]*{side}="([\d:.]+)"'), 1), lambda t: F.substring(t, 1, 2).cast("long") * 3600000 + F.substring(t, 4, 2).cast("long") * 60000 + F.substring(t, 7, 2).cast("long") * 1000 + F.substring(t, 10, 3).cast("long")),
-        F.lit(0).cast("long"), lambda a, v: a + v,
-    )
-    return docs.select("src", F.regexp_count("document", F.lit("<entry ")).alias("entries"), ms("in").alias("in_ms"), ms("out").alias("out_ms"))
+    return _entries(editors.documents(_documented(spark, sf_dir), None, kind, Fraction(25)))
 
 
 _ENTRIES = _DOCUMENTED + """ SELECT src, CAST(count(*) AS INT) AS entries, CAST(sum("offset" * 40) AS BIGINT) AS in_ms, CAST(sum(("offset" + dur - 1) * 40) AS BIGINT) AS out_ms FROM x GROUP BY src"""

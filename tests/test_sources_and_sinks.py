@@ -6,9 +6,11 @@ from fractions import Fraction
 from xml.etree import ElementTree as ET
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from framespan import queries_more
 from framespan.functions import values as V
 from framespan.operators import kernels, mixing, transitions
 from framespan.queries import QUERIES
@@ -91,6 +93,30 @@ def test_queries_of_documents_group_nothing_in_pandas(spark, name):
     assert "InPandas" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_shotcut_documents_are_sent_and_searched_once(spark):
+    """Clips without transitions go to Python without columns of them; entries are looked for in one search of a document."""
+    plan = QUERIES["q_shotcut"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(document") == 1 and "incoming" not in plan and "outgoing" not in plan
+
+
+def test_entries_of_documents_of_any_length(spark):
+    """Times of seconds, minutes, hours, and of a hundred hours and more."""
+    for kind in ("shotcut", "kdenlive"):
+        spans = [(0, 10), (1, 1500), (1503, 90_000), (90_007, 1), (9_000_011, 30), (25_000_013, 9_000_000)]
+        t = editors.Timeline("t", Fraction(25), {(k, 0): [editors.Clip(sum(d for _, d in spans[:n]), d, o, '/m/"a>.mp4') for n, (o, d) in enumerate(spans)] for k in "va"})
+        docs = spark.createDataFrame([("t", editors.WRITERS[kind](t)), ("none", editors.WRITERS[kind](editors.Timeline("none", Fraction(25), {})))], "src string, document string")
+        got = {r["src"]: tuple(r)[1:] for r in queries_more._entries(docs).collect()}
+        assert got == {"t": (12, 2 * 40 * sum(o for o, _ in spans), 2 * 40 * sum(o + d - 1 for o, d in spans)), "none": (0, 0, 0)}
+
+
+def test_values_of_columns():
+    """Numbers and texts of a batch as they were, with nulls."""
+    for values, kind in (([3, 1, 3], pa.int64()), ([3, None], pa.int32()), ([1.5, None], pa.float64()), (["b", None, "a", "b", ""], pa.string()), ([], pa.string()), ([None], pa.string()), ([True, None], pa.bool_()), ([{"a": 1}, None], pa.struct([("a", pa.int64())]))):
+        assert editors._values(pa.array(values, kind)) == values
+    whole = pa.array(["a", "b", None, "b"] * 2)
+    assert editors._values(whole.slice(1, 5)) == ["b", None, "b", "a", "b"] and editors._values(pa.array(range(9)).slice(4, 3)) == [4, 5, 6]
+
+
 def test_times_are_rounded_as_fractions():
     for rate in (Fraction(30000, 1001), Fraction(25), Fraction(2997, 100), Fraction(16), Fraction(24000, 1001)):
         for n in (-7, -1, 0, 1, 2, 29, 1001, 30000, 123_457, 10_000_001):
