@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framespan.llm.storage import BROADCAST_BYTES, Workspace
-from framespan.llm.worker import held, parts
+from framespan.llm.worker import held, parts, release
 
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers; beyond it, it begins anew.
@@ -193,6 +193,7 @@ def _placer(runs: list[tuple[int, int, int, int, int, int]]):
     keys = (table[:, 0] << 48) + table[:, 1]
 
     def place(batches):
+        release()  # words' ids are needed no more
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             run = table[np.searchsorted(keys, (length << 48) + rank, "right") - 1] if len(keys) else table

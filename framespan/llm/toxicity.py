@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from framespan.llm.quality_model import training_rows
 from framespan.llm.storage import Workspace, all_of, unused
-from framespan.llm.worker import held, parts
+from framespan.llm.worker import ROWS, held, parts, release, trim
 
 #: Bounds of what is learned from: documents of either label, word features, features of words
 #: beside them, and token windows (all windows of a document, or none).
@@ -48,6 +48,8 @@ BEGINNINGS = (4, 5, 6)
 WINDOW, LONGEST = 6, 64
 _TOKEN = re.compile(r"[^\W\d_]+")
 _PIECE = 1 << 20
+#: Features that a worker counts before it hands them on.
+COUNTED = 50_000
 
 
 def features_of(word: str) -> list[str]:
@@ -278,16 +280,29 @@ def fit(documents: list[tuple[list[list[str]], int]], features: list[str], conte
     return Chain({f: float(params[k]) for f, k in index.items()}, float(params[many]), np.array([0.0, *params[many + 1 :]]).reshape(2, 2))
 
 
-def _feature_udf():
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def found(text: pa.Array) -> pa.Array:
-        out = []
-        for t in (t for part in parts(text) for t in part):
-            words = set(_TOKEN.findall((t or "").lower()))
-            out.append(sorted({f for w in words for f in features_of(w)}))
-        return pa.array(out, pa.list_(pa.string()))
+def _counts(batches):
+    """Features with the numbers of documents, and of toxic ones, that have them; memory is bounded by ``COUNTED`` features and one document."""
+    release()
+    toxic, n = Counter(), Counter()
 
-    return found
+    def rows():
+        found = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([toxic[f] for f in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["f", "toxic", "n"])
+        toxic.clear()
+        n.clear()
+        return found
+
+    for batch in batches:
+        labels = iter(batch.column("label").to_pylist())
+        for t in (t for part in parts(batch.column("text")) for t in part):
+            words = {m.group() for m in _TOKEN.finditer((t or "").lower())}
+            own = {f for w in words for f in features_of(w)}
+            n.update(own)
+            if next(labels):
+                toxic.update(own)
+            if len(n) > COUNTED:
+                yield rows()
+    yield rows()
+    trim()
 
 
 def windows_of(words: list[str], chosen: frozenset[str]) -> list[list[str]]:
@@ -307,7 +322,8 @@ def _windows(chosen: frozenset[str]):
     """Per document its windows; a clean document without any gives the middle of its text, so that featureless tokens are learned, a toxic one nothing."""
 
     def cut(batches):
-        for batch in batches:
+        release()
+        for batch in (b.slice(low, ROWS) for b in batches for low in range(0, b.num_rows, ROWS)):
             out, labels = [], []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 words = _TOKEN.findall((text or "").lower())
@@ -318,6 +334,7 @@ def _windows(chosen: frozenset[str]):
                     out.append(own)
                     labels.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.string()))), pa.array(labels, pa.int32()), pa.array(map(len, out), pa.int64())], names=["windows", "label", "n"])
+        trim()
 
     return cut
 
@@ -337,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     numbers = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not numbers.get(0) or not numbers.get(1):
         return fit([], [])
-    counted = sample.select("label", F.explode(_feature_udf()("text")).alias("f")).groupBy("f").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
+    counted = sample.select("text", "label").mapInArrow(_counts, "f string, toxic long, n long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     odds = (F.col("toxic") / numbers[1]) / ((F.col("n") - F.col("toxic") + 0.5) / numbers[0])
     supported = reduce(or_, ((F.col("toxic") >= n) & (odds >= ratio) for n, ratio in SUPPORT))
     chosen = counted.where(supported).orderBy(F.desc("toxic"), "f").limit(MAX_FEATURES)

@@ -1,9 +1,13 @@
 import itertools
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from framespan.llm import toxicity, worker
 from framespan.llm.toxicity import Chain, Tagger, _expectations, _powers, features_of, fit, keep_clean, marginals, op8, windows_of
 
 
@@ -76,6 +80,36 @@ def test_all_windows_and_whole_words_are_learned_from():
     assert sum(map(len, windows_of([words[3]] * 300, frozenset(["4:vile"])))) == 300
 
 
+def test_features_of_many_documents_are_counted_in_little_memory():
+    """A worker that held another operator's cache lets it go, and counts without all documents' features at once."""
+    texts = [" ".join(f"word{chr(97 + k % 26)}{'abcdefghij'[d % 10]}{chr(97 + k // 26)}" for k in range(200)) for d in range(4000)] + [None, "", "Vile vile VILE"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([d % 2 for d in range(len(texts))], pa.int32())], names=["text", "label"])
+    wanted, toxic = Counter(), Counter()
+    for d, t in enumerate(texts):
+        own = {f for w in toxicity._TOKEN.findall((t or "").lower()) for f in features_of(w)}
+        wanted.update(own)
+        toxic.update(own if d % 2 else ())
+    worker.held("another operator's", lambda: bytearray(1 << 20))
+    tracemalloc.start()
+    found = list(toxicity._counts(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not worker._held and peak < 20 << 20  # as lists of each document's features they took 80 MB
+    n, t = Counter(), Counter()
+    for r in (r for b in found for r in b.to_pylist()):
+        n[r["f"]] += r["n"]
+        t[r["f"]] += r["toxic"]
+    assert n == wanted and +t == toxic
+
+
+def test_counts_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "COUNTED", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["vile words", "other words", "vile others here"]), pa.array([1, 0, 1], pa.int32())], names=["text", "label"])
+    found = list(toxicity._counts(iter([batch, batch])))
+    assert len(found) > 2 and sum(r["n"] for b in found for r in b.to_pylist() if r["f"] == "w:vile") == 4
+    assert [b.num_rows for b in toxicity._counts(iter([]))] == [0]
+
+
 def test_held_out_documents(spark):
     at = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
